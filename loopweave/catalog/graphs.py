@@ -9,7 +9,7 @@ from loopweave.catalog.domain import dump, edges, nodes, significance, table
 from loopweave.catalog.registry import cte, query
 from loopweave.operators import contacts as ct
 
-BASE = 3
+BASE = 40
 
 
 @query("contact_dump", "select chrom1,pos1,chrom2,pos2,weight from c_dump")
@@ -221,11 +221,11 @@ def matrix_drop_empty(spark, d):
 
 @query(
     "matrix_drop_indices",
-    """with x as (select idx from c_nodes where price > 1200)
+    """with x as (select idx from c_nodes where idx%11=3)
     select id1,id2,weight from c_edges where id1 not in (select idx from x) and id2 not in (select idx from x)""",
 )
 def matrix_drop_indices(spark, d):
-    return ct.drop_indices(edges(spark, d), nodes(spark, d).filter("price > 1200").select("idx"))
+    return ct.drop_indices(edges(spark, d), nodes(spark, d).filter("idx % 11 = 3").select("idx"))
 
 
 @query(
@@ -282,9 +282,9 @@ def edge_lookup(spark, d):
     return ct.has_edge(graph(spark, d), wanted)
 
 
-@query("node_neighbours", "select id2 idx, weight from c_graph where id1=7")
+@query("node_neighbours", "select id2 idx, weight from c_graph where id1=100")
 def node_neighbours(spark, d):
-    return ct.neighbours(graph(spark, d), 7)
+    return ct.neighbours(graph(spark, d), 100)
 
 
 @query(
@@ -344,16 +344,16 @@ def adjacency_lists(spark, d):
     "densified_graph",
     """with e as (select id1 s,id2 t,weight::double w from c_graph), o as (select s,count(*) n,sum(w) sw from e group by s),
     dg as (select v, sum(w) degree from (select s v,w from e union all select t,w from e) group by v),
-    src as (select dg.v from dg left join o on o.s=dg.v where coalesce(o.n,0)<=12),
+    src as (select dg.v from dg left join o on o.s=dg.v where coalesce(o.n,0)<=30),
     h1 as (select e.s, e.t, e.w f from e join src on src.v=e.s),
     h2 as (select h1.s, e.t, h1.f*e.w/o.sw f from h1 join e on e.s=h1.t join o on o.s=h1.t),
     al as (select v s, v t, degree/10.0 f from dg where v in (select v from src) union all select * from h1 union all select * from h2),
     rk as (select s,t,round(sum(f),6) weight from al group by s,t),
     tk as (select *, row_number() over (partition by s order by weight desc,t) rn from rk)
-    select s id1,t id2,round(weight,6)+0.0 weight from tk where rn<=12
-    union all select e.s,e.t,e.w from e join o on o.s=e.s where o.n>12""",
+    select s id1,t id2,round(weight,6)+0.0 weight from tk where rn<=30
+    union all select e.s,e.t,e.w from e join o on o.s=e.s where o.n> 30""",
 )
 def densified_graph(spark, d):
     from loopweave.operators.graph import densify
 
-    return rounded(densify(graph(spark, d), max_neighbours=12, depth=2), "weight")
+    return rounded(densify(graph(spark, d), max_neighbours=30, depth=2), "weight")

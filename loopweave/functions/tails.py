@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -41,7 +42,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * value / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -52,7 +53,7 @@ def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return pd.Series([0.5 * math.erfc(v / math.sqrt(2)) if v == v else np.nan for v in z], dtype=float)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loopweave.functions.tails import binomial_upper_tail, normal_upper_tail
@@ -17,12 +17,14 @@ from loopweave.operators.annotation import (
     region_label,
 )
 
-NONE = Window.partitionBy()
+def _all() -> WindowSpec:
+    """The whole of an already aggregated table (one row per label or cell)."""
+    return Window.partitionBy()
 
 
 def share(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """``value`` over its total; call it only on aggregated rows (one per label or cell)."""
-    return df.withColumn(name, F.col(value) / F.sum(value).over(NONE)).select(*keys, name)
+    return df.withColumn(name, F.col(value) / F.sum(value).over(_all())).select(*keys, name)
 
 
 def coverage(segs: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def variance_explained(
     x, keys = F.col(signal), list(by)
     rows = df.filter(x.isNotNull() & F.col(label).isNotNull())
     moments = rows.groupBy(*keys, label).agg(F.count("*").alias("_n"), F.avg(x).alias("_m"))
-    group = Window.partitionBy(*keys) if keys else NONE
+    group = Window.partitionBy(*keys) if keys else _all()
     means = moments.withColumn(
         "_g", F.sum(F.col("_n") * F.col("_m")).over(group) / F.sum("_n").over(group)
     )
@@ -174,7 +176,7 @@ def expression_by_label(labelled: DataFrame) -> DataFrame:
 def genes_per_label(labelled: DataFrame, reference_label: str | None = None) -> DataFrame:
     """Genes per label over a tenth of the label's own genes, or of ``reference_label``'s."""
     counts = labelled.groupBy("label").agg(F.count("*").alias("n"))
-    base = F.max(F.when(F.col("label") == reference_label, F.col("n"))).over(NONE)
+    base = F.max(F.when(F.col("label") == reference_label, F.col("n"))).over(_all())
     unit = (base if reference_label is not None else F.col("n")) / 10
     return counts.filter("label <> 'None'").select("label", (F.col("n") / unit).alias("genes"))
 
@@ -308,7 +310,7 @@ def over_expected(
     """Cells over total * row coverage * column coverage."""
     rows = row_shares.toDF("label1", "_r")
     cols = col_shares.toDF("label2", "_c")
-    total = F.sum("n").over(NONE)
+    total = F.sum("n").over(_all())
     return (
         table.withColumn("_t", total)
         .join(rows, "label1")
@@ -335,7 +337,7 @@ def overlap_enrichment(table: DataFrame, tail: bool = True) -> DataFrame:
     )
     grid = every.select(F.explode("a").alias("label1"), "b").select("label1", F.explode("b").alias("label2"))
     full = grid.join(table, ["label1", "label2"], "left").na.fill(0, ["n"])
-    total = F.sum("n").over(NONE)
+    total = F.sum("n").over(_all())
     chance = (
         F.sum("n").over(Window.partitionBy("label1")) / total
         * F.sum("n").over(Window.partitionBy("label2")) / total
