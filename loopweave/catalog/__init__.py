@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the equivalent SQL where there is one."""
 
-from loopweave.catalog import graphs, scores, signals  # noqa: F401
+from loopweave.catalog import graphs, resampling, scores, signals  # noqa: F401
 from loopweave.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -213,7 +213,7 @@ REGION_ARMS = """with rb as (select region_id, chrom, bin, least(en,(bin+1)*3600
     w as (select {rep} region_id, label, sum(ov) w, min(bin) f from {src} group by {rep} region_id, label),
     k as (select *, row_number() over (partition by {rep} region_id order by w desc, f) rn, sum(w) over (partition by {rep} region_id) tot,
       sum(case when label is not null then w end) over (partition by {rep} region_id) lb from w)
-    select {rep} round(avg(w/tot),6)+0.0 agreement from k where rn=1 and label is not null and lb/3600>3 {grp}"""
+    select {rep} avg(w/tot) agreement from k where rn=1 and label is not null and lb/3600>3 {grp}"""
 
 
 cte(
@@ -224,13 +224,16 @@ cte(
 )
 
 
-@query(
-    "region_agreement",
+cte(
+    "c_agreement",
     REGION_ARMS.format(
         rep="", grp="",
         src="ra left join c_arm_known l on l.chrom=ra.chrom and l.arm=ra.arm and l.arm_pos=ra.ap",
     ),
 )
+
+
+@query("region_agreement", "select round(agreement,6)+0.0 agreement from c_agreement")
 def region_agreement(spark, d):
     arms = arm_sizes(spark, d)
     by_arm = an.arm_labels(known_labels(spark, d), arms, RES)
@@ -257,12 +260,12 @@ cte(
 )
 
 
-@query("region_agreement_shifted", "select rep, agreement from c_agreements")
+@query("region_agreement_shifted", "select rep, round(agreement,6)+0.0 agreement from c_agreements")
 def region_agreement_shifted(spark, d):
     arms = arm_sizes(spark, d)
     by_arm = an.arm_labels(known_labels(spark, d), arms, RES)
     shifted = an.shift_arm_labels(by_arm, arms, RES, SHIFTS)
-    out = ev.region_agreement(regions(spark, d), shifted, arms, RES, reps=["rep"])
+    out = ev.region_agreement(regions(spark, d), shifted, arms, RES, reps=["rep"], versions=[0, 1, 2])
     return rounded(longs(out, "rep"), "agreement")
 
 

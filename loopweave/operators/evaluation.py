@@ -71,24 +71,23 @@ def variance_explained(
 ) -> DataFrame:
     """1 - within-label squares / total squares, per ``by``.
 
-    Two passes of partial aggregation around the label and overall means; the means are one
-    row per label. Shifting by the mean keeps large offsets from cancelling.
+    One pass over the rows: counts, means and variances per label merge stably, and the sums
+    of squares follow from them.
     """
     x, keys = F.col(signal), list(by)
-    rows = df.filter(x.isNotNull() & F.col(label).isNotNull())
-    moments = rows.groupBy(*keys, label).agg(F.count("*").alias("_n"), F.avg(x).alias("_m"))
-    group = Window.partitionBy(*keys) if keys else _all()
-    means = moments.withColumn(
-        "_g", F.sum(F.col("_n") * F.col("_m")).over(group) / F.sum("_n").over(group)
+    moments = (
+        df.filter(x.isNotNull() & F.col(label).isNotNull())
+        .groupBy(*keys, label)
+        .agg(F.count("*").alias("_n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v"))
     )
+    group = Window.partitionBy(*keys) if keys else _all()
+    overall = F.sum(F.col("_n") * F.col("_m")).over(group) / F.sum("_n").over(group)
+    within = F.sum(F.col("_n") * F.col("_v"))
+    between = F.sum(F.col("_n") * (F.col("_m") - F.col("_g")) ** 2)
     return (
-        rows.join(means, [*keys, label])
+        moments.withColumn("_g", overall)
         .groupBy(*keys)
-        .agg(
-            (
-                1 - F.sum((x - F.col("_m")) ** 2) / F.sum((x - F.col("_g")) ** 2)
-            ).alias("ve")
-        )
+        .agg((1 - within / (within + between)).alias("ve"))
     )
 
 
@@ -99,10 +98,8 @@ def unpivot(df: DataFrame, keep: Sequence[str], names: Sequence[str], key: str,
 def within_cluster_squares(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """Sum of squared distances to the label means."""
     long = df.select(label, F.posexplode(features).alias("_d", "_x"))
-    means = long.groupBy(label, "_d").agg(F.avg("_x").alias("_m"))
-    return long.join(means, [label, "_d"]).agg(
-        F.sum((F.col("_x") - F.col("_m")) ** 2).alias("sse")
-    )
+    squares = long.groupBy(label, "_d").agg((F.count("*") * F.var_pop("_x")).alias("_s"))
+    return squares.agg(F.sum("_s").alias("sse"))
 
 
 # --- regions, genes, replication timing ----------------------------------------------------
@@ -114,12 +111,13 @@ def region_agreement(
     arms: DataFrame,
     resolution: int,
     reps: Sequence[str] = (),
+    versions: Sequence[int] = (),
     least_bins: int = 3,
 ) -> DataFrame:
     """Mean share of the commonest label over the regions (none competes).
 
     A region counts if its commonest label is a label and more than ``least_bins`` bins of it
-    are labelled. With ``reps`` the labels hold several permutations and each gets a row.
+    are labelled.
     """
     pieces = arm_position(
         covered_bins(regions.select("region_id", "chrom", "start", "end"), resolution).withColumn(
@@ -131,9 +129,8 @@ def region_agreement(
     )
     keys = ["region_id", *reps]
     if reps:
-        versions = [r.asDict() for r in by_arm.select(*reps).distinct().collect()]
-        each = F.array(*[F.struct(*[F.lit(v[c]).alias(c) for c in reps]) for v in versions])
-        pieces = pieces.withColumn("_v", F.explode(each)).select("*", *[F.col(f"_v.{c}") for c in reps])
+        each = F.array(*[F.lit(v).cast("bigint") for v in versions])
+        pieces = pieces.withColumn(reps[0], F.explode(each))
     weights = (
         pieces.join(by_arm, ["chrom", "arm", "arm_pos", *reps], "left")
         .groupBy(*keys, "label")
