@@ -442,5 +442,5 @@ def scalar_functions(spark, d):
     """select idx, round(ln(exp(click/100)+exp(error/100)+exp(purchase/100)+exp(signup/100)+exp("view"/100)),6)+0.0 lse from c_valid""",
 )
 def log_sum_exp_rows(spark, d):
-    values = F.array(*[F.col(t) / 100 for t in TRACKS])
+    values = [F.col(t) / 100 for t in TRACKS]
     return valid_bins(spark, d).select("idx", r(log_sum_exp(values)).alias("lse"))

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loopweave.plans.vectors import log_sum_exp
-
-__all__ = [
-    "bin_of", "ceil_div", "is_autosome", "log_transform", "log_sum_exp", "name_has_suffix",
-    "round_significant", "saturated_sigmoid", "vector_norm", "unit_vector",
-]
-
 
 def bin_of(pos: Column, resolution: int, up: bool = False) -> Column:
     """Bin number of a base position, rounded down or ``up``."""

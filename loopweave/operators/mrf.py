@@ -1,10 +1,24 @@
-"""Markov random field over the contact graph (filled in below)."""
+"""Markov random field over the contact graph: loopy belief propagation inside EM.
+
+An undirected edge is one row that carries both of its messages, so the message of the
+opposite direction is always at hand and only beliefs are joined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopweave.functions.gaussian import normal_log_density
+from loopweave.operators.mixture import fit_mixture, posterior
+from loopweave.plans.vectors import argmax, items, log_sum_exp, sum_vector, total
+from loopweave.session import materialize
+
+TINY = 1e-100
+
 
 def transition_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """label1, label2, n: summed edge weight between every two labels."""
@@ -16,3 +30,157 @@ def transition_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("label1", "label2")
         .agg(F.sum("weight").alias("n"))
     )
+
+
+def edge_potential(edges: DataFrame, labels: DataFrame, k: int) -> np.ndarray:
+    """Log transition matrix, normalised over all of its k * k cells."""
+    counts = np.zeros((k, k))
+    for row in transition_counts(edges, labels).collect():
+        counts[int(row.label1), int(row.label2)] = row.n
+    logs = np.log(counts + TINY)
+    return logs - np.log(np.exp(logs - logs.max()).sum()) - logs.max()
+
+
+def _send(potential: np.ndarray, belief: str, back: str) -> Column:
+    """Message over an edge: for every state the log-sum over the sender's states."""
+    k = len(potential)
+    free = [b - m for b, m in zip(items(belief, k), items(back, k))]
+    return F.array(
+        *[log_sum_exp([F.lit(float(row[j])) + free[j] for j in range(k)]) for row in potential]
+    )
+
+
+def _scores(k: int) -> Column:
+    """Log density plus the summed neighbour vector, zero for a node without neighbours."""
+    return F.array(
+        *[a + F.coalesce(b, F.lit(0.0)) for a, b in zip(items("phi", k), items("s", k))]
+    )
+
+
+def loopy_beliefs(
+    edges: DataFrame, unary: DataFrame, potential: np.ndarray, max_iter: int = 100, tol: float = 1e-2
+) -> DataFrame:
+    """idx, belief (log, normalised per node), label.
+
+    ``edges(id1, id2)`` hold each undirected edge once or in both directions; ``unary(idx, phi)``
+    are log densities. Stops when the sum of all beliefs moves by less than ``tol``.
+    """
+    k = len(potential)
+    zero = F.array(*[F.lit(0.0)] * k)
+    links = materialize(
+        edges.filter("id1 <> id2")
+        .select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v"))
+        .distinct()
+        .withColumn("to_u", zero)
+        .withColumn("to_v", zero)
+    )
+    last = None
+    beliefs = None
+    for step in range(max_iter):
+        arriving = F.explode(
+            F.array(
+                F.struct(F.col("u").alias("idx"), F.col("to_u").alias("m")),
+                F.struct(F.col("v").alias("idx"), F.col("to_v").alias("m")),
+            )
+        )
+        sums = (
+            links.select(arriving.alias("a")).groupBy("a.idx").agg(sum_vector(F.col("a.m"), k).alias("s"))
+        )
+        beliefs = materialize(
+            unary.join(sums, "idx", "left")
+            .select("idx", _scores(k).alias("_b"))
+            .withColumn("_z", log_sum_exp(items("_b", k)))
+            .select("idx", F.array(*[b - F.col("_z") for b in items("_b", k)]).alias("belief"))
+        )
+        settled = beliefs.agg(F.sum(total(items("belief", k)))).first()[0]
+        if last is not None and abs(settled - last) < tol:
+            break
+        last = settled
+        if step + 1 == max_iter:
+            break
+        at = beliefs.toDF("u", "bu"), beliefs.toDF("v", "bv")
+        links = materialize(
+            links.join(at[0], "u")
+            .join(at[1], "v")
+            .select(
+                "u",
+                "v",
+                _send(potential, "bv", "to_v").alias("to_u"),
+                _send(potential, "bu", "to_u").alias("to_v"),
+            )
+        )
+    return beliefs.withColumn("label", argmax(F.col("belief")))
+
+
+def _label_gaussians(labelled: DataFrame, k: int, width: int) -> list:
+    """Mean and sample covariance per label; None where a label has fewer than two nodes."""
+    x = F.col("features")
+    aggs = [F.avg(x[i]).alias(f"m{i}") for i in range(width)]
+    aggs += [
+        F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(width) for j in range(i, width)
+    ]
+    params: list = [None] * k
+    for row in labelled.groupBy("label").agg(F.count("*").alias("n"), *aggs).collect():
+        if row.n < 2:
+            continue
+        cov = np.zeros((width, width))
+        for i in range(width):
+            for j in range(i, width):
+                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+        params[int(row.label)] = (np.array([row[f"m{i}"] for i in range(width)]), cov)
+    return params
+
+
+def fit_random_field(
+    features: DataFrame,
+    edges: DataFrame,
+    k: int = 10,
+    em_iter: int = 10,
+    lbp_iter: int = 100,
+    tol: float = 1e-2,
+    seed: int = 1,
+    params: list | None = None,
+    labels: DataFrame | None = None,
+) -> DataFrame:
+    """idx, label after EM; starts from a Gaussian mixture unless ``params`` and ``labels`` are given.
+
+    As in the model this rebuilds, the scores of the E-step are normalised per state over all
+    nodes, not per node over the states.
+    """
+    features = materialize(features.select("idx", "features"))
+    width = len(features.select("features").first()[0])
+    if params is None:
+        model, params = fit_mixture(features, k, seed)
+        labels = posterior(model, features).select("idx", argmax(F.col("post")).alias("label"))
+    potential = edge_potential(edges, labels, k)
+    previous = None
+    for _ in range(em_iter):
+        unary = materialize(features.select("idx", normal_log_density("features", params).alias("phi")))
+        beliefs = loopy_beliefs(edges, unary, potential, lbp_iter, tol)
+        # Every neighbour adds the potential row of its label, weighted by the edge.
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in potential])
+        pulled = (
+            edges.join(beliefs.select(F.col("idx").alias("id2"), "label"), "id2")
+            .withColumn("_r", rows[F.col("label").cast("int")])
+            .withColumn("_x", F.array(*[v * F.col("weight") for v in items("_r", k)]))
+            .groupBy(F.col("id1").alias("idx"))
+            .agg(sum_vector(F.col("_x"), k).alias("s"))
+        )
+        scores = materialize(unary.join(pulled, "idx", "left").select("idx", _scores(k).alias("score")))
+        tops = scores.agg(*[F.max(F.col("score")[i]).alias(f"t{i}") for i in range(k)]).first()
+        sums = scores.agg(
+            *[F.sum(F.exp(F.col("score")[i] - F.lit(tops[i]))).alias(f"s{i}") for i in range(k)]
+        ).first()
+        norm = [float(tops[i] + math.log(sums[i])) for i in range(k)]
+        label = argmax(F.array(*[s - F.lit(n) for s, n in zip(items("score", k), norm)]))
+        current = materialize(scores.select("idx", label.alias("label")))
+        params = _label_gaussians(features.join(current, "idx"), k, width)
+        potential = edge_potential(edges, current, k)
+        if previous is not None:
+            changed = (
+                current.join(previous.toDF("idx", "old"), "idx").filter("label <> old").limit(1).count()
+            )
+            if not changed:
+                break
+        previous = current
+    return current
