@@ -1,10 +1,10 @@
 """Gaussian hidden Markov model over runs of consecutive bins, split into blocks.
 
-A chain may be as long as a chromosome, so it is cut into blocks of ``block`` bins. A block
-reduces to one K x K matrix; the matrices of a chain, one per block, are scanned in order to
-give every block the state distribution at its borders, and the blocks then work on their own.
-This is the associative-scan form of forward-backward and Viterbi; results equal the
-sequential ones.
+A chain may be as long as a chromosome, so it is cut into blocks of ``block`` bins. A block of
+a longer chain reduces to one K x K matrix; the matrices of a chain, one per block, are scanned
+in order to give every block the state distribution at its borders, and the blocks then work
+on their own. This is the associative-scan form of forward-backward and Viterbi; results equal
+the sequential ones. Chains of a single block need no scan.
 """
 
 from __future__ import annotations
@@ -45,19 +45,20 @@ def _lse(a: np.ndarray, axis: int | None = None) -> np.ndarray:
 
 
 def pack_chains(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """chain, b, t (first position), idx and flattened features, one row per block of a chain.
+    """chain, b, blocks (of the chain), idx and flattened features, one row per block.
 
-    ``df(chain, t, idx, features)``; t counts from 0 without gaps. A block holds at most
+    ``df(chain, n, t, idx, features)``; t counts from 0 to n - 1. A block holds at most
     ``block`` bins.
     """
     rows = df.withColumn("b", F.floor(F.col("t") / block).cast("bigint"))
     items = F.array_sort(F.collect_list(F.struct("t", "idx", "features")))
     return materialize(
         rows.groupBy("chain", "b")
-        .agg(items.alias("i"))
+        .agg(items.alias("i"), F.ceil(F.max("n") / block).alias("blocks"))
         .select(
             "chain",
             "b",
+            "blocks",
             F.transform("i", lambda s: s["idx"]).alias("idx"),
             F.flatten(F.transform("i", lambda s: s["features"])).alias("x"),
         )
@@ -86,12 +87,13 @@ def _summaries(blocks: DataFrame, p: HmmParams, viterbi: bool) -> DataFrame:
             ]
             yield pd.DataFrame({"chain": pdf["chain"], "b": pdf["b"], "m": mats})
 
-    return blocks.select("chain", "b", "idx", "x").mapInPandas(run, "chain bigint, b bigint, m array<double>")
+    cut = blocks.filter("blocks > 1")
+    return cut.select("chain", "b", "idx", "x").mapInPandas(run, "chain bigint, b bigint, m array<double>")
 
 
 def _border_messages(summaries: DataFrame, p: HmmParams) -> DataFrame:
     """chain, b, before (log distribution at the previous block's end, empty for the first),
-    after (log backward message at the block's end), loglik (on the first block only).
+    after (log backward message at the block's end).
     """
     k = len(p.start)
     log_start, log_trans = np.log(p.start + 1e-300), np.log(p.trans + 1e-300)
@@ -99,33 +101,25 @@ def _border_messages(summaries: DataFrame, p: HmmParams) -> DataFrame:
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b")
         mats = [np.reshape(m, (k, k)) for m in pdf["m"]]
-        before, ends, state = [], [], None
+        before, state = [], None
         for m in mats:
             before.append([] if state is None else state)
             entry = log_start if state is None else _lse(state[:, None] + log_trans, 0)
             state = _lse(entry[:, None] + m, 0)
-            ends.append(state)
         after = [np.zeros(k)]
         for m in reversed(mats[1:]):
             after.append(_lse(log_trans + _lse(m + after[-1][None, :], 1)[None, :], 1))
-        loglik = float(_lse(ends[-1]))
         return pd.DataFrame(
-            {
-                "chain": pdf["chain"],
-                "b": pdf["b"],
-                "before": before,
-                "after": list(reversed(after)),
-                "loglik": [loglik if i == 0 else 0.0 for i in range(len(mats))],
-            }
+            {"chain": pdf["chain"], "b": pdf["b"], "before": before, "after": list(reversed(after))}
         )
 
     return summaries.groupBy("chain").applyInPandas(
-        scan, "chain bigint, b bigint, before array<double>, after array<double>, loglik double"
+        scan, "chain bigint, b bigint, before array<double>, after array<double>"
     )
 
 
 def _posteriors(logp, before, after, p: HmmParams):
-    """gamma (n x K) and summed transition posteriors (K x K) of one block."""
+    """gamma (n x K), summed transition posteriors (K x K) and the chain's log likelihood."""
     log_trans = np.log(p.trans + 1e-300)
     n, k = logp.shape
     alpha, beta = np.empty((n, k)), np.empty((n, k))
@@ -143,21 +137,25 @@ def _posteriors(logp, before, after, p: HmmParams):
     xi = np.zeros((k, k))
     if len(left):
         xi = np.exp(left[:, :, None] + log_trans[None] + right[:, None, :] - total).sum(axis=0)
-    return gamma, xi
+    return gamma, xi, float(total)
 
 
 def _expected_counts(blocks: DataFrame, borders: DataFrame, p: HmmParams) -> tuple[np.ndarray, float]:
     """Sufficient statistics of the E-step, summed by Spark; their size depends on K and D only."""
-    pairs = p.pairs
+    pairs, k = p.pairs, len(p.start)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
-            for i, x, before, after, ll in zip(pdf["idx"], pdf["x"], pdf["before"], pdf["after"], pdf["loglik"]):
+            for i, x, before, after in zip(pdf["idx"], pdf["x"], pdf["before"], pdf["after"]):
                 data = np.reshape(x, (len(i), -1))
-                gamma, xi = _posteriors(log_densities(data, pairs), before, after, p)
+                before = [] if before is None else before
+                after = np.zeros(k) if after is None else after
+                gamma, xi, loglik = _posteriors(log_densities(data, pairs), before, after, p)
                 second = np.einsum("nk,ni,nj->kij", gamma, data, data)
-                own = gamma[0] if len(before) == 0 else np.zeros_like(gamma[0])
+                first_block = len(before) == 0
+                own = gamma[0] if first_block else np.zeros(k)
+                ll = loglik if first_block else 0.0
                 flat = np.concatenate(
                     [own, xi.ravel(), gamma.sum(axis=0), (gamma.T @ data).ravel(), second.ravel(), [ll]]
                 )
@@ -165,7 +163,8 @@ def _expected_counts(blocks: DataFrame, borders: DataFrame, p: HmmParams) -> tup
         if total is not None:
             yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
-    parts = blocks.join(borders, ["chain", "b"]).mapInPandas(run, "at bigint, v double")
+    rows = blocks.join(borders, ["chain", "b"], "left").select("idx", "x", "before", "after")
+    parts = rows.mapInPandas(run, "at bigint, v double")
     sums = parts.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
     flat = np.array([row.v for row in sums])
     return flat[:-1], float(flat[-1])
@@ -245,18 +244,22 @@ def decode(blocks: DataFrame, p: HmmParams) -> DataFrame:
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for idx, x, prev, last in zip(pdf["idx"], pdf["x"], pdf["prev"], pdf["last"]):
                 logp = log_densities(np.reshape(x, (len(idx), -1)), pairs)
-                score = logp[0] + (log_start if prev < 0 else log_trans[int(prev)])
+                score = logp[0] + (log_trans[int(prev)] if prev >= 0 else log_start)
                 back = np.zeros(logp.shape, dtype=int)
                 for t in range(1, len(logp)):
                     step = score[:, None] + log_trans
                     back[t] = step.argmax(axis=0)
                     score = step.max(axis=0) + logp[t]
                 path = np.empty(len(logp), dtype=int)
-                path[-1] = int(last)
+                path[-1] = int(last) if last >= 0 else int(score.argmax())
                 for t in range(len(logp) - 1, 0, -1):
                     path[t - 1] = back[t, path[t]]
-                yield pd.DataFrame({"idx": idx, "label": path})
+                out.append(pd.DataFrame({"idx": idx, "label": path}))
+            if out:
+                yield pd.concat(out)
 
-    return blocks.join(borders, ["chain", "b"]).mapInPandas(trace, "idx bigint, label bigint")
+    rows = blocks.join(borders, ["chain", "b"], "left").select("idx", "x", "prev", "last")
+    return rows.na.fill(-1, ["prev", "last"]).mapInPandas(trace, "idx bigint, label bigint")

@@ -32,7 +32,7 @@ def prepare(spark: SparkSession, config: readers.Config) -> dict[str, DataFrame]
 
 
 def chained(features: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """Adds chain (the first index of the run of consecutive bins) and t (offset in the run).
+    """Adds chain (the first index of the run of consecutive bins), n (its length) and t (offset).
 
     Bins of a run are numbered without gaps, so a run is found by index as well as by position.
     """
@@ -40,7 +40,7 @@ def chained(features: DataFrame, block: int = 1 << 16) -> DataFrame:
         features.select("chrom", F.col("pos").alias("start"), F.col("idx").alias("chain")), ["chrom", "start"]
     )
     members = F.explode(F.sequence(F.col("chain"), F.col("chain") + F.col("n") - 1))
-    pieces = runs.select("chain", members.alias("idx"))
+    pieces = runs.select("chain", "n", members.alias("idx"))
     return features.join(pieces, "idx").withColumn("t", F.col("idx") - F.col("chain"))
 
 
@@ -53,7 +53,7 @@ def label_bins(
     """
     features = materialize(features.select("idx", "chrom", "pos", "features"))
     chains = chained(features)
-    blocks = hmm.pack_chains(chains.select("chain", "t", "idx", "features"))
+    blocks = hmm.pack_chains(chains.select("chain", "n", "t", "idx", "features"))
     params, _ = hmm.fit_hmm(blocks, hmm.initial_params(features, k, seed), max_iter)
     labels = features.select("idx", "chrom", "pos").join(hmm.decode(blocks, params), "idx")
     return an.segments(labels.select("chrom", "pos", "label"), resolution)
