@@ -131,35 +131,39 @@ def _step(edges, table, state, p: EmbedParams, per_step, cells, rate, step) -> D
     pairs = positive.unionByName(negative).join(u, "id1").join(v, "to")
     dot = total([x * y for x, y in zip(items("a", p.dim), items("b", p.dim))])
     g = (F.col("y") - saturated_sigmoid(dot)) * F.lit(rate) * F.col("times")
+    none = F.array(*[F.lit(0.0)] * p.dim)
+    pulled = F.struct(F.col("id1").alias("idx"), F.col("b").alias("e"), none.alias("c"))
+    pushed = (
+        F.struct(F.col("to").alias("idx"), none.alias("e"), F.col("a").alias("c"))
+        if p.order == 2
+        else F.struct(F.col("to").alias("idx"), F.col("a").alias("e"), none.alias("c"))
+    )
     moved = pairs.select("id1", "to", "a", "b", "times", g.alias("g")).select(
-        F.explode(
-            F.array(
-                F.struct(F.col("id1").alias("idx"), F.lit("emb").alias("part"), F.col("b").alias("d")),
-                F.struct(F.col("to").alias("idx"), F.lit(target).alias("part"), F.col("a").alias("d")),
-            )
-        ).alias("m"),
-        "g",
-        "times",
+        F.explode(F.array(pulled, pushed)).alias("m"), "g", "times"
     )
-    scaled = F.array(*[x * F.col("g") for x in items("m.d", p.dim)])
-    # A vertex hit very often in one step takes a damped step, or stale gradients would add up.
-    damp = F.least(F.lit(1.0), F.lit(32.0) / F.sum("times"))
     sums = (
-        moved.select("m.idx", "m.part", "times", scaled.alias("d"))
-        .groupBy("idx", "part")
-        .agg(sum_vector(F.col("d"), p.dim).alias("d"), damp.alias("damp"))
-    )
-    out = state
-    for part in {"emb", target}:
-        delta = sums.filter(F.col("part") == part).select("idx", "d", "damp")
-        added = F.array(
-            *[
-                x + F.coalesce(y * F.col("damp"), F.lit(0.0))
-                for x, y in zip(items(part, p.dim), items("d", p.dim))
-            ]
+        moved.select(
+            "m.idx",
+            "times",
+            F.array(*[x * F.col("g") for x in items("m.e", p.dim)]).alias("e"),
+            F.array(*[x * F.col("g") for x in items("m.c", p.dim)]).alias("c"),
         )
-        out = out.join(delta, "idx", "left").withColumn(part, added).drop("d", "damp")
-    return out
+        .groupBy("idx")
+        .agg(
+            sum_vector(F.col("e"), p.dim).alias("de"),
+            sum_vector(F.col("c"), p.dim).alias("dc"),
+            # A vertex hit very often in one step takes a damped step, or stale gradients add up.
+            F.least(F.lit(1.0), F.lit(32.0) / F.sum("times")).alias("damp"),
+        )
+    )
+
+    def added(old: str, delta: str) -> Column:
+        pairs = zip(items(old, p.dim), items(delta, p.dim))
+        return F.array(*[x + F.coalesce(y * F.col("damp"), F.lit(0.0)) for x, y in pairs])
+
+    return state.join(sums, "idx", "left").select(
+        "idx", added("emb", "de").alias("emb"), added("ctx", "dc").alias("ctx")
+    )
 
 
 def normalise(vectors: DataFrame) -> DataFrame:
