@@ -231,11 +231,11 @@ def matrix_drop_indices(spark, d):
 @query(
     "matrix_window",
     """select distinct * from (
-    select id1-100 \"row\", id2-300 col, weight from c_edges where id1 between 100 and 400 and id2 between 300 and 900
-    union all select id2-100, id1-300, weight from c_edges where id2 between 100 and 400 and id1 between 300 and 900)""",
+    select id1-10 \"row\", id2-30 col, weight from c_edges where id1 between 10 and 400 and id2 between 30 and 900
+    union all select id2-10, id1-30, weight from c_edges where id2 between 10 and 400 and id1 between 30 and 900)""",
 )
 def matrix_window(spark, d):
-    return ct.window_cells(edges(spark, d), 100, 400, 300, 900)
+    return ct.window_cells(edges(spark, d), 10, 400, 30, 900)
 
 
 @query(
