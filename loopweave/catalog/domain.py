@@ -21,6 +21,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores dealt out evenly, before they are multiplied.
+
+    A large table has more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _chrom(key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit("chr"), (key % 22 + 1).cast("string"))
@@ -39,7 +48,7 @@ select 'chr'||(user_id%22+1) chrom, event_type track,
 
 def raw_tracks(spark: SparkSession, d: str) -> DataFrame:
     start = F.col("event_id") * 360 + F.minute("ts") * 60 + F.second("ts")
-    return table(spark, d, "events").select(
+    rows = table(spark, d, "events").select(
         _chrom("user_id").alias("chrom"),
         F.col("event_type").alias("track"),
         start.cast("bigint").alias("start"),
@@ -47,6 +56,7 @@ def raw_tracks(spark: SparkSession, d: str) -> DataFrame:
         "value",
         "event_id",
     )
+    return spread(rows)
 
 
 cte(

@@ -16,6 +16,7 @@ from loopweave.operators.annotation import (
     point_label,
     region_label,
 )
+from loopweave.session import materialize
 
 def _all() -> WindowSpec:
     """The whole of an already aggregated table (one row per label or cell)."""
@@ -200,7 +201,7 @@ def timing_scores(
     rt: DataFrame, labels: DataFrame, resolution: int, phases: Sequence[str]
 ) -> DataFrame:
     """Mean variance explained and adjusted Rand index of the strongest phase, one row."""
-    labelled = point_label(rt, labels, resolution).filter("label is not null")
+    labelled = materialize(point_label(rt, labels, resolution).filter("label is not null"))
     values = F.array(*[F.col(p) for p in phases])
     phase = F.array_position(values, F.array_max(values)) - 1
     rand = adjusted_rand(labelled.select(phase.alias("label1"), F.col("label").alias("label2")))
@@ -209,18 +210,20 @@ def timing_scores(
 
 def adjusted_rand(df: DataFrame) -> DataFrame:
     """Adjusted Rand index of label1 against label2, from pair counts of the contingency table."""
-    table = df.groupBy("label1", "label2").agg(F.count("*").alias("n"))
-
-    def pairs(n: Column) -> Column:
-        return n * (n - 1) / 2
-
-    cells = table.agg(F.sum(pairs(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
-    rows = table.groupBy("label1").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("rows"))
-    cols = table.groupBy("label2").agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("cols"))
-    joined = cells.withColumn("rows", rows.scalar()).withColumn("cols", cols.scalar())
-    expected = F.col("rows") * F.col("cols") / pairs(F.col("total"))
+    n = F.sum("n").cast("double")
+    pairs = (n * (n - 1) / 2).alias("pairs")
+    # Cells, both margins and the total in one pass over the small table.
+    sums = (
+        df.groupBy("label1", "label2")
+        .agg(F.count("*").alias("n"))
+        .groupingSets([["label1", "label2"], ["label1"], ["label2"], []], "label1", "label2")
+        .agg(F.grouping_id().alias("level"), pairs)
+    )
+    cells, rows, cols, every = [F.sum(F.when(F.col("level") == k, F.col("pairs"))) for k in range(4)]
+    one = sums.agg(cells.alias("cells"), rows.alias("rows"), cols.alias("cols"), every.alias("every"))
+    expected = F.col("rows") * F.col("cols") / F.col("every")
     top = (F.col("rows") + F.col("cols")) / 2
-    return joined.select(
+    return one.select(
         F.when(top == expected, 1.0).otherwise((F.col("cells") - expected) / (top - expected)).alias("ari")
     )
 
@@ -355,6 +358,7 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``values(idx, value)``; ``edges(id1, id2, weight)`` are the cells of the weight matrix.
     """
+    values = materialize(values.select("idx", "value"))
     centred = values.select(
         "idx", (F.col("value") - values.agg(F.avg("value")).scalar()).alias("d")
     )
@@ -363,7 +367,8 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
         F.sum(F.col("d") ** 2).alias("m2"),
         F.sum(F.col("d") ** 4).alias("m4"),
     )
-    cells = edges.groupBy("id1", "id2").agg(F.sum("weight").cast("double").alias("w"))
+    # Read four times below, so computed once.
+    cells = materialize(edges.groupBy("id1", "id2").agg(F.sum("weight").cast("double").alias("w")))
     cross = (
         cells.join(centred.toDF("id1", "d1"), "id1")
         .join(centred.toDF("id2", "d2"), "id2")

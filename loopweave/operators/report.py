@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.operators import evaluation as ev
+from loopweave.session import materialize
 
 
 def brief_stats(
@@ -19,7 +20,8 @@ def brief_stats(
     phases: Sequence[str],
 ) -> DataFrame:
     """avg_length, num_domains, ge_ve, rt_score1, rt_score2, ent."""
-    scores = ev.timing_scores(timing, labels, resolution, phases)
+    labels, segs = materialize(labels), materialize(segs)
+    scores = materialize(ev.timing_scores(timing, labels, resolution, phases))
     return segs.agg(
         F.avg(F.col("end") - F.col("start")).alias("avg_length"), F.count("*").alias("num_domains")
     ).select(
@@ -41,6 +43,7 @@ def stats(
     paired: Mapping[str, DataFrame],
 ) -> DataFrame:
     """``brief_stats`` and the observed/expected intra ratio of every set of paired regions."""
+    labels, segs = materialize(labels), materialize(segs)
     shares = ev.coverage(segs)
     ratios = []
     for name, pairs in paired.items():

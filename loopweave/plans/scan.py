@@ -138,9 +138,10 @@ def nearest_valid(
     """For each distinct (key, pos) the first bin index at or after and the last at or before.
 
     Returns key, pos, next_idx (NULL if none), last_idx (NULL if none). ``idx`` grows with
-    ``pos`` inside a key. Repeated query positions collapse before anything is ordered.
+    ``pos`` inside a key. Repeated query positions collapse before anything is ordered. The
+    spine is checkpointed: its rows and its block summaries would otherwise each compute ``bins``.
     """
-    spine = (
+    spine = materialize(
         queries.select(key, pos, F.lit(1).alias("_q"), F.lit(None).cast("bigint").alias("_i"))
         .unionByName(bins.select(key, pos, F.lit(0).alias("_q"), F.col(idx).alias("_i")))
         .groupBy(key, pos)
