@@ -31,7 +31,8 @@ def islands(
     """Maximal runs of consecutive positions (and equal labels): keys, start, stop, label.
 
     ``stop`` is exclusive. A run is cut at block edges first; only the pieces that touch an
-    edge, at most two per block, go through the per-key stitching window.
+    edge, at most two per block, go through the per-key stitching window. The pieces, which
+    are read twice, are checkpointed.
     """
     rows = df.select(
         *keys,
@@ -43,7 +44,7 @@ def islands(
     continues = (F.lag("_p").over(in_block) == F.col("_p") - 1) & F.lag("label").over(
         in_block
     ).eqNullSafe(F.col("label"))
-    pieces = (
+    pieces = materialize(
         rows.withColumn("_s", F.when(continues, 0).otherwise(1))
         .withColumn("_r", F.sum("_s").over(in_block))
         .groupBy(*keys, "_b", "_r")
@@ -81,9 +82,10 @@ def position_index(
     """Dense 0-based index over (rank, pos); (rank, pos) is unique.
 
     Row numbers are taken inside blocks and shifted by the running count of earlier blocks,
-    so the only unpartitioned window runs over one row per block.
+    so the only unpartitioned window runs over one row per block. The rows are checkpointed,
+    since counting and numbering both read them.
     """
-    rows = df.withColumn("_b", block_of(F.col(pos), block))
+    rows = materialize(df.withColumn("_b", block_of(F.col(pos), block)))
     before = Window.orderBy(rank, "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(rank, "_b")
@@ -148,25 +150,27 @@ def nearest_valid(
         .agg(F.max("_q").alias("_q"), F.max("_i").alias("_i"))
         .withColumn("_b", block_of(F.col(pos), block))
     )
-    up = Window.partitionBy(key, "_b").orderBy(pos)
-    ahead = up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    behind = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Looking ahead is looking back in descending order: a frame that ends at the last row
+    # would be evaluated anew for every row.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(key, "_b").orderBy(F.desc(pos)).rowsBetween(*so_far)
+    behind = Window.partitionBy(key, "_b").orderBy(pos).rowsBetween(*so_far)
     local = (
-        spine.withColumn("_next", F.first("_i", ignorenulls=True).over(ahead))
+        spine.withColumn("_next", F.last("_i", ignorenulls=True).over(ahead))
         .withColumn("_last", F.last("_i", ignorenulls=True).over(behind))
         .filter("_q = 1")
     )
-    over_blocks = Window.partitionBy(key).orderBy("_b")
+    earlier = (Window.unboundedPreceding, -1)
     carried = spine.groupBy(key, "_b").agg(
         F.min("_i").alias("_lo"), F.max("_i").alias("_hi")
     ).select(
         key,
         "_b",
-        F.first("_lo", ignorenulls=True)
-        .over(over_blocks.rowsBetween(1, Window.unboundedFollowing))
+        F.last("_lo", ignorenulls=True)
+        .over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(*earlier))
         .alias("_after"),
         F.last("_hi", ignorenulls=True)
-        .over(over_blocks.rowsBetween(Window.unboundedPreceding, -1))
+        .over(Window.partitionBy(key).orderBy("_b").rowsBetween(*earlier))
         .alias("_before"),
     )
     return local.join(carried, [key, "_b"]).select(

@@ -91,9 +91,3 @@ def test_top_k_keeps_exact_rows_of_a_hot_group(spark):
     for g in {r[0] for r in rows}:
         want += sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:25]
     assert sorted(map(tuple, got)) == sorted(want)
-
-
-def test_scan_plans_partition_by_block_not_by_key(spark):
-    df = spark.range(100).select(F.lit("c").alias("chrom"), F.col("id").alias("pos"))
-    plan = scan.islands(df, ["chrom"], "pos")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan and "_b" in plan
