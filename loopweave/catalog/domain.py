@@ -208,7 +208,7 @@ select o_orderkey point_id, 'chr'||(o_custkey%22+1) chrom, o_orderkey*240+500 po
 
 def replication(spark: SparkSession, d: str) -> DataFrame:
     order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, d, "orders").select(
+    rows = table(spark, d, "orders").select(
         order.alias("point_id"),
         _chrom(cust).alias("chrom"),
         (order * 240 + 500).alias("pos"),
@@ -217,6 +217,7 @@ def replication(spark: SparkSession, d: str) -> DataFrame:
             for k, p in enumerate(PHASES)
         ],
     )
+    return spread(rows)
 
 
 cte(
@@ -229,12 +230,13 @@ select o_orderkey region_id, 'chr'||(o_custkey%22+1) chrom, o_orderkey*240 st,
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
     order = F.col("o_orderkey")
-    return table(spark, d, "orders").select(
+    rows = table(spark, d, "orders").select(
         order.alias("region_id"),
         _chrom("o_custkey").alias("chrom"),
         (order * 240).alias("start"),
         (order * 240 + (F.lit(5) + order % 26) * 3600).alias("end"),
     )
+    return spread(rows)
 
 
 cte(
@@ -250,7 +252,7 @@ select 'chr'||(l_partkey%22+1) chrom1, l_partkey*1800 st1,
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     part, order, supp = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey")
-    return table(spark, d, "lineitem").select(
+    rows = table(spark, d, "lineitem").select(
         _chrom(part).alias("chrom1"),
         (part * 1800).alias("start1"),
         (part * 1800 + 1 + (supp * 311) % 9000).alias("end1"),
@@ -259,6 +261,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         (order * 240 + 1 + (supp * 733) % 9000).alias("end2"),
         F.col("l_quantity").cast("bigint").alias("weight"),
     )
+    return spread(rows)
 
 
 # --- contact map ---------------------------------------------------------------------------
