@@ -51,7 +51,7 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') words from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
 s as (select distinct doc_id, array_to_string(case when len(words) < 4 then words else words[i:i+3] end, ' ') || ' ' || least(len(words), 4) sh
   from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) i from w where len(words) > 0)),
 n as (select doc_id, count(*) n from s group by 1),
