@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import decontam, langid, pieces, setjoin, toxicity
+from loopweave.llm import decontam, html, kdshards, langid, pieces, setjoin, topk, toxicity, urls, warc
 from loopweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,23 @@ def fold(size: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % size, F.lit(0))
 
 
+@register(
+    "op1_exact_topk",
+    """
+with v as (select cast(vec_id as bigint) vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q from embeddings
+  where vec_id is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) score
+  from (select distinct * from v where vec_id % 50 = 0) a join v b on a.vec_id <> b.vec_id)
+select query_id, cast(rank as integer) rank, vec_id, score from
+  (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p) where rank <= 5
+""",
+)
+def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").filter(topk.usable(F.col("embedding")))
+    return topk.top_k(vectors.select("vec_id", topk.floor_terms(F.col("embedding")).alias("terms")), k=5, every=50)
+
+
 @register("op2_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(3) == 1)
@@ -68,6 +85,19 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similarity_classes(docs, k=4, top=85, bottom=100).select("doc_id", "n_shingles", "component_id")
 
 
+@register("op5_kd_sharding")
+def kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    shards = kdshards.kd_shards(table(spark, folder, "documents"), leaves=8)
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@register("op6_warc")
+def warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages").select("page_id", "url", "html")).captures()
+
+
 @register(
     "op7_decontamination",
     r"""
@@ -101,6 +131,25 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+@register("op8_url_filter")
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url"), RULES)
+
+
+@register("op9_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @register("op10_piece_coding")
 def piece_coding(spark: SparkSession, folder: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, folder, "documents"), with_text=False)

@@ -3,17 +3,22 @@
 A document's set holds the 64-bit hashes of its distinct k-word shingles. Two documents link when
 the Jaccard similarity of their sets reaches a ratio; a class is a connected component of links.
 
-1. Shingles that many documents share are marked in a Bloom filter of bounded size. All sets are
-   ordered alike: unmarked shingles first, then by hash. Any fixed order gives whole results; this
-   one keeps shared passages out of the prefixes. Linked sets share a shingle in their prefixes,
-   the first ``n - ceil(ratio * n) + 1`` shingles.
+1. A quarter of all shingles, those with the smallest hashes, are counted over all documents, and
+   the ones that several documents hold are marked in a Bloom filter of bounded size. All sets are
+   ordered alike: counted shingles without a mark first, then marked, then uncounted ones, each by
+   hash. Any fixed order gives whole results; this one keeps shared passages out of the prefixes.
+   Linked sets share a shingle in their prefixes, the first ``n - ceil(ratio * n) + 1`` shingles.
+   While the filter holds every shingle of two documents, an unmarked one is known to be bare, held
+   by one document: it is never posted, and ``n - bare`` bounds the overlap with any other set.
 2. Equal sets are one class from the start. Sets with an equal prefix and size form one group.
 3. Sets that share a minimum hash, or a group, are compared with the member that has the fewest
-   unmarked shingles: linear in the members, and it settles most near copies.
-4. Groups that meet in a prefix shingle, whose members are in more than one component so far, are
-   paired where sizes and shingle positions allow a link. The pairs are expanded to their members
-   of different components and verified. Pairs inside one component cannot change the result and
-   are not formed, so a large group of near copies costs no square.
+   bare shingles: linear in the members, and it settles most near copies.
+4. Classes whose prefix shingles are posted by more than one component are looked at again among
+   themselves, with all their shingles counted: once more by 3, then by a grouped prefix join.
+   Groups that meet in a prefix shingle and hold different components are paired where sizes and
+   shingle positions allow a link; pairs are expanded to their members and verified. Pairs inside
+   one component cannot change the result and are not formed, so a large group of near copies
+   costs no square.
 
 Verification intersects the whole sets. Hash equality stands for shingle equality (two different
 shingles meet with probability 2**-64 a pair).
@@ -39,37 +44,41 @@ from loopweave.llm.common import Bloom, mix64, slices, stored
 from loopweave.llm.components import components
 
 MINIMA = 4
-HOT = 16
-EXTENT = 1.5
+COUNTED = np.uint64(1 << 62)
+MOST_MARKED = 1 << 23
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
+class _Words(dict):
+    """Scrambled hash of every word met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts; words met before are looked up."""
 
     def __init__(self, k: int, memory: int = 400_000):
         self.k, self.memory = k, memory
-        self.known: dict[bytes, int] = {}
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.known = _Words()
 
     def set_of(self, text: str | None) -> np.ndarray:
         words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        codes = self.codes(words)
+        if len(self.known) > self.memory:
+            self.known.clear()
+        codes = np.array(list(map(self.known.__getitem__, words)), dtype=np.uint64)
         width = min(self.k, len(codes))
-        mixed = np.zeros(len(codes) - width + 1, dtype=np.uint64)
-        for at in range(width):
-            mixed = (mixed * FACTORS[0]) ^ mix64(codes[at : len(codes) - width + 1 + at] + FACTORS[1])
-        return np.unique(mix64(mixed + np.uint64(width) * FACTORS[2]))
+        mixed = codes[: len(codes) - width + 1] * FACTORS[0]
+        for at in range(1, width):
+            mixed ^= codes[at : len(codes) - width + 1 + at]
+            mixed *= FACTORS[at % 3]
+            mixed ^= mixed >> np.uint64(29)
+        own = np.sort(mix64(mixed + np.uint64(width) * FACTORS[2]))
+        return own[np.concatenate([[True], own[1:] != own[:-1]])]
 
 
 @dataclass(frozen=True)
@@ -96,97 +105,143 @@ class Ratio:
         return F.lit(self.top + self.bottom) * most >= F.lit(self.top) * (n + m)
 
 
-def shared_shingles(docs: DataFrame, k: int, ratio: Ratio) -> Bloom:
-    """Marks of the shingles that occur in ``HOT`` documents or more, counted over all documents.
+@dataclass
+class Marks:
+    """Bloom filter of shared shingles among those with a hash below ``below``; exact: none of them is missing."""
+
+    bloom: Bloom
+    below: np.uint64
+    exact: bool
+
+    def ordered(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The first ``size`` shingles of a set in the common order that have to be posted, their
+        positions, and the number of bare shingles."""
+        counted = int(np.searchsorted(own, self.below)) if self.below else len(own)
+        marked = self.bloom.holds(own[:counted])
+        order = np.concatenate([own[:counted][~marked], own[:counted][marked], own[counted:]])
+        bare = int(counted - marked.sum()) if self.exact else 0
+        return order[bare:size], np.arange(bare, max(bare, min(size, len(own)))), bare
+
+
+def marks_of(counts: DataFrame, below: np.uint64, most: int = MOST_MARKED) -> Marks:
+    """Marks of ``counts(h, n)``: shingles of two documents or more, or of the smallest power of two that fits."""
+    shared = stored(counts.filter("n > 1"), "shared-shingles")
+    tiers = shared.groupBy(F.floor(F.log2("n")).alias("tier")).count().orderBy(F.desc("tier")).collect()
+    least, total = 2, 0
+    for row in tiers:
+        total += row["count"]
+        if total > most:
+            least = 2 << row["tier"]
+            break
+    chosen = shared.filter(F.col("n") >= least).select("h")
+    return Marks(Bloom.gather(chosen, "h", Bloom.size_for(min(total, most))), below, least == 2)
 
-    Counted are the smallest hashes of every set, half as many again as its prefix has.
-    """
+
+def shingle_counts(docs: DataFrame, k: int) -> DataFrame:
+    """h, n: in how many documents every shingle with a hash below ``COUNTED`` occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for part in slices(batches, "text"):
             sets = [shingler.set_of(t) for t in part.column(0).to_pylist()]
-            front = [s[: int(EXTENT * ratio.prefix(len(s))) + 1] for s in sets]
-            values, counts = np.unique(np.concatenate(front), return_counts=True)
+            values, counts = np.unique(np.concatenate([s[: np.searchsorted(s, COUNTED)] for s in sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    hot = stored(counted.filter(F.col("n") >= HOT).select("h"), "shared-shingles")
-    return Bloom.gather(hot, "h", Bloom.size_for(hot.count()))
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+POSTED = "n long, bare long, minima array<long>, posted array<long>, places array<int>"
+
+
+def _posted(sets: list[np.ndarray], ratio: Ratio, marks: Marks, turns: np.ndarray) -> list[pa.Array]:
+    """Columns of ``POSTED`` for the given sets."""
+    longs = pa.list_(pa.int64())
+    sizes, bares, minima, posted, places = [], [], [], [], []
+    for own in sets:
+        order, at, bare = marks.ordered(own, ratio.prefix(len(own)))
+        sizes.append(len(own))
+        bares.append(bare)
+        minima.append([int(own[0].view(np.int64)), *(int(mix64(own ^ t).min().view(np.int64)) for t in turns)] if len(own) else [])
+        posted.append(order.view(np.int64))
+        places.append(at.astype(np.int32))
+    return [
+        pa.array(sizes, pa.int64()),
+        pa.array(bares, pa.int64()),
+        pa.array(minima, longs),
+        pa.array(posted, longs),
+        pa.array(places, pa.list_(pa.int32())),
+    ]
 
 
-def sketches(docs: DataFrame, k: int, ratio: Ratio, hot: Bloom) -> DataFrame:
-    """doc_id, key (digest of the set, null when empty), n, rare (unmarked shingles), minima, prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+NAMES = ["n", "bare", "minima", "posted", "places"]
+
+
+def sketches(docs: DataFrame, k: int, ratio: Ratio, marks: Marks) -> DataFrame:
+    """doc_id, key (digest of the set, null when empty) and the columns of ``POSTED``."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, marks = Shingler(k), shared.value
-        turns = mix64(np.arange(1, MINIMA, dtype=np.uint64))
+        shingler, turns = Shingler(k), mix64(np.arange(1, MINIMA, dtype=np.uint64))
         for part in slices(batches, "text"):
-            keys, sizes, rare, minima, prefixes = [], [], [], [], []
-            for text in part.column(1).to_pylist():
-                own = shingler.set_of(text)
-                marked = marks.holds(own) if len(own) else np.zeros(0, bool)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sizes.append(len(own))
-                rare.append(int(len(own) - marked.sum()))
-                minima.append([int(own[0].view(np.int64)), *(int(mix64(own ^ t).min().view(np.int64)) for t in turns)] if len(own) else [])
-                prefixes.append(np.concatenate([own[~marked], own[marked]])[: ratio.prefix(len(own))].view(np.int64))
-            longs = pa.list_(pa.int64())
+            sets = [shingler.set_of(t) for t in part.column(1).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(keys, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(rare, pa.int64()),
-                    pa.array(minima, longs),
-                    pa.array(prefixes, longs),
-                ],
-                names=["doc_id", "key", "n", "rare", "minima", "prefix"],
+                [part.column(0), pa.array(keys, pa.binary()), *_posted(sets, ratio, shared.value, turns)],
+                names=["doc_id", "key", *NAMES],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, key binary, n long, rare long, minima array<long>, prefix array<long>"
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, key binary, {POSTED}")
+
+
+def resketched(sets: DataFrame, ratio: Ratio) -> DataFrame:
+    """key, comp and ``POSTED`` anew for ``sets(key, comp, items)``, with all shingles counted among these sets."""
+    counts = sets.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    shared = sets.sparkSession.sparkContext.broadcast(marks_of(counts, np.uint64(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = mix64(np.arange(1, MINIMA, dtype=np.uint64))
+        for part in slices(batches, "key", 1 << 14):
+            items = part.column(2)
+            own = [np.sort(items[i].values.to_numpy().view(np.uint64)) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *_posted(own, ratio, shared.value, turns)], names=["key", "comp", *NAMES]
+            )
+
+    return sets.select("key", "comp", "items").mapInArrow(run, f"key binary, comp long, {POSTED}")
 
 
 def whole_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """key, items: the sets of the keys in ``wanted(key)``, each once.
+    """key, items: the sets of the classes in ``wanted(key, doc_id)``, each once.
 
-    A Bloom filter of the wanted keys, bounded in size, keeps other sets from being shuffled.
+    Only documents whose doc_id is met in a Bloom filter of the wanted ids, bounded in size, are cut
+    into shingles; a null id is always looked at.
     """
-    size = Bloom.size_for(wanted.count())
-    heads = wanted.select(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.gather(heads, "h", size))
+    ids = wanted.select("doc_id").dropna()
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.gather(ids, "doc_id", Bloom.size_for(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, marks, given = Shingler(k), shared.value, set()
+        shingler, given = Shingler(k), set()
         for part in slices(batches, "text"):
+            ids = part.column(0)
+            seen = shared.value.holds(ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             keys, items = [], []
-            for text in part.column(0).to_pylist():
-                own = shingler.set_of(text)
-                if not len(own):
-                    continue
+            for at in np.flatnonzero(seen):
+                own = shingler.set_of(part.column(1)[int(at)].as_py())
                 key = xxhash.xxh3_128_digest(own.tobytes())
-                head = np.array([int.from_bytes(key[:7], "big")], dtype=np.uint64)
-                if key in given or not marks.holds(head)[0]:
-                    continue
-                given.add(key)
-                keys.append(key)
-                items.append(own.view(np.int64))
+                if len(own) and key not in given:
+                    given.add(key)
+                    keys.append(key)
+                    items.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["key", "items"]
             )
 
-    found = docs.select("text").mapInArrow(run, "key binary, items array<long>")
-    return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    found = docs.select("doc_id", "text").mapInArrow(run, "key binary, items array<long>")
+    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    pairs = stored(pairs, "candidate-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stored(whole_sets(docs, k, wanted), "candidate-sets")
+def verified(pairs: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
+    """The pairs (a, b) whose whole sets, from ``sets(key, items)``, link."""
     left = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -199,34 +254,35 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, ratio: Ratio) -> DataFra
 
 
 def star_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
-    """a, b: every class with the barest class of each bucket (minimum hash, or prefix and size) it is in."""
-    buckets = F.concat("minima", F.array(F.xxhash64("prefix", "n")))
-    filed = classes.select("key", "n", "rare", F.posexplode(buckets).alias("slot", "value"))
+    """a, b: every class with the barest class of each bucket (minimum hash, or group) it is in."""
+    buckets = F.concat("minima", F.array(F.xxhash64("posted", "n", "bare")))
+    filed = classes.select("key", "n", "bare", F.posexplode(buckets).alias("slot", "value"))
     hubs = filed.groupBy("slot", "value").agg(
-        F.min(F.struct("rare", "key", "n")).alias("hub"), F.count("*").alias("members")
+        F.min(F.struct("bare", "key", "n")).alias("hub"), F.count("*").alias("members")
     )
+    n, m = F.col("n"), F.col("hub.n")
+    most = F.least(n - F.col("bare"), m - F.col("hub.bare"))
     return (
         filed.join(hubs.filter("members > 1"), ["slot", "value"])
-        .filter((F.col("hub.key") != F.col("key")) & ratio.sizes_allow(F.col("n"), F.col("hub.n")))
+        .filter((F.col("hub.key") != F.col("key")) & ratio.sizes_allow(n, m) & ratio.overlap_allows(most, n, m))
         .select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b"))
         .distinct()
     )
 
 
-def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
-    """a, b: classes of different components whose groups meet in a prefix shingle that lets them link.
+def _open_postings(units: DataFrame, name: str) -> DataFrame:
+    """g, comp, n, at, h of posted shingles that more than one component posts.
 
-    ``classes(key, n, prefix, comp)``; comp is a 64-bit hash of the component so far.
+    ``units(g, comp, n, posted, places)``. A Bloom filter of the open shingles, bounded in size,
+    keeps the others from being shuffled a second time.
     """
-    grouped = classes.select("key", "comp", "n", "prefix", F.xxhash64("prefix", "n").alias("g"))
-    units = grouped.groupBy("g", "comp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = units.select("g", "comp", "n", F.posexplode("prefix").alias("at", "h"))
-    open_shingles = (
-        postings.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
+    postings = units.select("g", "comp", "n", F.explode(F.arrays_zip("posted", "places")).alias("p"))
+    postings = postings.select("g", "comp", "n", F.col("p.places").alias("at"), F.col("p.posted").alias("h"))
+    open_shingles = stored(
+        postings.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h"), f"{name}-open"
     )
-    open_shingles = stored(open_shingles, "open-shingles")
     marks = Bloom.gather(open_shingles, "h", Bloom.size_for(open_shingles.count(), 1 << 24))
-    shared = classes.sparkSession.sparkContext.broadcast(marks)
+    shared = units.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +290,17 @@ def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
             if len(values):
                 yield batch.filter(pa.array(shared.value.holds(values)))
 
-    left = postings.mapInArrow(run, postings.schema).join(open_shingles, "h", "left_semi")
-    left = stored(left, "open-postings")
+    return stored(postings.mapInArrow(run, postings.schema).join(open_shingles, "h", "left_semi"), name)
+
+
+def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
+    """a, b: classes of different components whose groups meet in a posted shingle that lets them link.
+
+    ``classes(key, comp, ...)`` with the columns of ``POSTED``; comp is a 64-bit hash of the component so far.
+    """
+    grouped = classes.withColumn("g", F.xxhash64("posted", "n", "bare"))
+    units = grouped.groupBy("g", "comp").agg(*[F.first(c).alias(c) for c in ("n", "posted", "places")])
+    left = _open_postings(units, "group-postings")
     right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("g", "comp", "n", "at")])
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     met = (
@@ -246,12 +311,6 @@ def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
         .distinct()
     )
     own = grouped.select("g", "comp", "key")
-    inside = own.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("g")
-    split = own.join(inside, "g", "left_semi").select("g", "comp").distinct()
-    twin = split.select("g", F.col("comp").alias("comp2"))
-    met = met.union(
-        split.join(twin, "g").filter(F.col("comp") < F.col("comp2")).select("g", "comp", F.col("g").alias("g2"), "comp2")
-    ).distinct()
     first = own.select("g", "comp", F.col("key").alias("a"))
     second = own.select(F.col("g").alias("g2"), F.col("comp").alias("comp2"), F.col("key").alias("b"))
     return met.join(first, ["g", "comp"]).join(second, ["g2", "comp2"]).select("a", "b").distinct()
@@ -259,22 +318,34 @@ def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
 
 def _classified(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
     """doc_id, key, n, component_id, rows (of the component), kept (the row stands for its component)."""
-    hot = shared_shingles(docs, k, ratio)
-    rows = stored(sketches(docs, k, ratio, hot), "set-sketches")
+    rows = stored(sketches(docs, k, ratio, marks_of(shingle_counts(docs, k), COUNTED)), "set-sketches")
     filled = rows.filter(F.col("key").isNotNull())
     classes = stored(
         filled.groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.count("*").alias("copies"),
-            *[F.first(c).alias(c) for c in ("n", "rare", "minima", "prefix")],
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in NAMES]
         ),
         "set-classes",
     )
-    links = stored(verified(star_pairs(classes, ratio), docs, k, ratio), "star-links")
-    so_far = components(links)
-    labelled = classes.join(so_far, "key", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "key")))
-    more = verified(group_pairs(labelled.select("key", "n", "prefix", "comp"), ratio), docs, k, ratio)
-    joined = components(links.union(more))
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        wanted = stored(classes.select("key", "doc_id").join(keys, "key", "left_semi"), "wanted-sets")
+        return stored(whole_sets(docs, k, wanted), "whole-sets")
+
+    pairs = stored(star_pairs(classes, ratio), "star-pairs")
+    links = stored(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), ratio), "star-links")
+
+    def labelled(found: DataFrame, frame: DataFrame) -> DataFrame:
+        return frame.join(components(found), "key", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "key")))
+
+    units = labelled(links, classes.select("key", "n", "posted", "places")).withColumn("g", F.xxhash64("key"))
+    met = _open_postings(units, "class-postings").select("g").distinct()
+    near = classes.select("key").withColumn("g", F.xxhash64("key")).join(met, "g", "left_semi").select("key")
+    sets = sets_of(near)
+    again = stored(resketched(labelled(links, sets), ratio), "sketched-again")
+    links = stored(links.union(verified(star_pairs(again, ratio), sets, ratio)), "more-links")
+    again = labelled(links, again.drop("comp"))
+    links = stored(links.union(verified(stored(group_pairs(again, ratio), "group-pairs"), sets, ratio)), "all-links")
+    joined = components(links)
     named = classes.select("key", "doc_id", "copies").join(joined, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     ids = named.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.sum("copies").alias("rows")
