@@ -19,8 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` (a string or binary) holds about ``most_bytes``, one row at least."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 1 << 16
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` (a string or binary) holds about ``most_bytes``, one row at least, and ``most_rows``."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,6 +35,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 <
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
+            stop = min(stop, start + most_rows)
             yield batch.slice(start, stop - start)
             start = stop
 

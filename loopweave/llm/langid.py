@@ -32,6 +32,7 @@ from loopweave.llm.common import mix64, slices
 WIDTH = 1024
 BLANK = 32
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 256
 
 
 @lru_cache(maxsize=1)
@@ -102,7 +103,7 @@ def learn(rows: DataFrame, width: int = WIDTH) -> dict[str, np.ndarray]:
     """Prototypes by language from ``rows(text, lang)``; null text or language teaches nothing."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             packed, counts, _ = trigram_counts(part.column(0).to_pylist())
             total = counts.sum(axis=1)
             share = counts / np.maximum(total, 1)[:, None]
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], width: int = WI
     at_text = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             packed, counts, letters = trigram_counts(part.column(at_text).to_pylist())
             langs, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
             if names and len(packed):

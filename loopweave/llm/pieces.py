@@ -29,7 +29,7 @@ from loopweave.llm.common import slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LOWEST = float("-inf")
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 MEMORY_CHARS = 64
 
 

@@ -60,7 +60,7 @@ class _Words(dict):
 class Shingler:
     """Sorted distinct shingle hashes of texts; words met before are looked up."""
 
-    def __init__(self, k: int, memory: int = 400_000):
+    def __init__(self, k: int, memory: int = 150_000):
         self.k, self.memory = k, memory
         self.known = _Words()
 

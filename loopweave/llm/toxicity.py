@@ -51,7 +51,7 @@ IDENTITY_TERMS = (
 class Features:
     """Cells of a text's features; words met before are looked up."""
 
-    def __init__(self, cells: int = CELLS, memory: int = 300_000):
+    def __init__(self, cells: int = CELLS, memory: int = 100_000):
         self.cells, self.memory = cells, memory
         self.known: dict[str, tuple[int, ...]] = {}
 

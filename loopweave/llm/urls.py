@@ -107,13 +107,13 @@ class UrlModels:
         context, with_next, owner = _grams(texts, self.order)
         if not len(owner) or not self.ready:
             return out
-        size = np.uint64(self.cells.shape[1])
+        size, half = np.uint64(self.cells.shape[1]), np.uint64(1)  # the lowest bit made room for the class
         total = np.zeros(len(owner))
         for sign, counts in ((-1.0, self.cells[0]), (1.0, self.cells[1])):
             p = np.full(len(owner), 1.0 / SYMBOLS)
             for n in range(self.order + 1):
-                seen = counts[(context[n] % size).astype(np.int64)]
-                both = np.minimum(counts[(with_next[n] % size).astype(np.int64)], seen)
+                seen = counts[((context[n] >> half) % size).astype(np.int64)]
+                both = np.minimum(counts[((with_next[n] >> half) % size).astype(np.int64)], seen)
                 p = (both + self.beta * p) / (seen + self.beta)
             total += sign * np.log(p)
         sums = np.bincount(owner, weights=total, minlength=len(texts))
