@@ -53,12 +53,12 @@ def concatenated_vectors(spark, d):
 
 @query(
     "vectors_by_position",
-    """select n.idx, n.chrom, n.pos, round(embedding[1]::double,6)+0.0 emb1, round(embedding[64]::double,6)+0.0 emb64
+    """select n.idx, n.chrom, n.pos, """ + ", ".join(f"round(embedding[{i}]::double,6)+0.0 emb{i}" for i in range(1, 65)) + """
     from embeddings join c_nodes n on n.idx=vec_id""",
 )
 def vectors_by_position(spark, d):
     out = em.with_positions(vectors(spark, d), nodes(spark, d))
-    return rounded(out.select("idx", "chrom", "pos", "emb1", "emb64"), "emb1", "emb64")
+    return rounded(out, *[f"emb{i}" for i in range(1, 65)])
 
 
 @query(
@@ -75,14 +75,12 @@ def negative_cells(spark, d):
 
 @query("graph_embedding")
 def graph_embedding(spark, d):
-    p = em.EmbedParams(dim=8, samples=40_000, per_step=20_000)
-    return em.embed(graph(spark, d), p).select("idx", F.size("vec").alias("dim"))
+    return em.embed(graph(spark, d), em.EmbedParams(dim=8)).select("idx", "vec")
 
 
 @query("graph_embedding_first_order")
 def graph_embedding_first_order(spark, d):
-    p = em.EmbedParams(dim=4, order=1, samples=20_000, per_step=20_000)
-    return em.embed(graph(spark, d), p).select("idx", F.size("vec").alias("dim"))
+    return em.embed(graph(spark, d), em.EmbedParams(dim=8, order=1)).select("idx", "vec")
 
 
 @query("embedding_plane")

@@ -1,39 +1,49 @@
 """Node embeddings of first and second order proximity by sampled edges and negatives.
 
-Training is synchronous: one step samples edges in proportion to their weight, draws negative
-vertices from a cell table, and adds the summed gradients to the vectors. Vectors live in a
-table keyed by vertex, so neither the graph nor the embedding has to fit any one machine.
-All randomness is a hash of (seed, step, row), so a recomputed task repeats its samples.
+Vertices are dealt into blocks of bounded size. Training goes through the pairs of blocks like a
+tournament: in one round every block meets one other (or itself), all meetings are disjoint, so they
+train side by side, and inside a meeting samples follow each other in small fixed batches that see
+the vectors the earlier ones left. Neither the graph nor the embedding has to fit any one machine,
+and the number of samples that a vertex sees does not depend on the layout. A meeting draws its
+share of the samples by edge weight and its negatives by degree, independently for every draw.
+Randomness is seeded by (seed, pass, meeting), so a recomputed task repeats its samples.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopweave.functions.scalar import saturated_sigmoid, unit_vector
+from loopweave.functions.scalar import unit_vector
 from loopweave.operators.contacts import degrees
 from loopweave.plans.scan import block_of, dense_index
-from loopweave.plans.vectors import items, sum_vector, total
+from loopweave.plans.vectors import items
 from loopweave.session import materialize
 
 NEGATIVE_POWER = 0.75
+#: Beyond this the sigmoid counts as 0 or 1.
+BOUND = 6.0
 
 
 @dataclass(frozen=True)
 class EmbedParams:
+    """``samples`` edges are drawn in ``passes`` passes over all pairs of blocks (one pass for one block)."""
+
     dim: int = 100
     order: int = 2
     negative: int = 5
     samples: int = 1_000_000
     rho: float = 0.025
-    per_step: int | None = None
-    cells: int | None = None
     seed: int = 1
+    block_rows: int = 1 << 14
+    batch: int = 128
+    passes: int = 10
 
     def __post_init__(self) -> None:
         if self.order not in (1, 2):
@@ -97,73 +107,97 @@ def initial_vectors(vertices: DataFrame, p: EmbedParams) -> DataFrame:
     return vertices.select("idx", F.array(*emb).alias("emb"), F.array(*[F.lit(0.0)] * p.dim).alias("ctx"))
 
 
+def rounds_of(blocks: int) -> list[list[int]]:
+    """Per round the opponent of every block; the first round is each block with itself.
+
+    The circle method: every pair of blocks meets once; with an odd number one block rests a round.
+    """
+    n = blocks + blocks % 2
+    out = [list(range(blocks))]
+    ring = list(range(n))
+    for _ in range(n - 1 if blocks > 1 else 0):
+        other = [0] * n
+        for a, b in zip(ring[: n // 2], reversed(ring[n // 2 :])):
+            other[a], other[b] = b, a
+        out.append([b if b < blocks else a for a, b in enumerate(other[:blocks])])
+        ring = [ring[0], ring[-1], *ring[1:-1]]
+    return out
+
+
+def train_meeting(
+    emb: np.ndarray, ctx: np.ndarray, degree: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray],
+    draws: int, first: int, p: EmbedParams, rng: np.random.Generator,
+) -> None:
+    """Train the vectors of one meeting in place; ``first`` samples were drawn before."""
+    source, target, weight = edges
+    by_weight = np.cumsum(weight)
+    by_degree = np.cumsum(degree**NEGATIVE_POWER)
+    onto = ctx if p.order == 2 else emb
+    for start in range(0, draws, p.batch):
+        size = min(p.batch, draws - start)
+        rate = p.rho * max(1.0 - (first + start) / (p.samples + 1.0), 1e-4)
+        picked = np.searchsorted(by_weight, rng.random(size) * by_weight[-1], "right").clip(max=len(weight) - 1)
+        noise = np.searchsorted(by_degree, rng.random((size, p.negative)) * by_degree[-1], "right").clip(max=len(degree) - 1)
+        u = source[picked]
+        to = np.concatenate([target[picked][:, None], noise], axis=1)
+        a, b = emb[u], onto[to]
+        x = np.einsum("sd,skd->sk", a, b)
+        y = np.zeros_like(x)
+        y[:, 0] = 1.0
+        sigmoid = np.where(x > BOUND, 1.0, np.where(x < -BOUND, 0.0, 1.0 / (1.0 + np.exp(-np.clip(x, -BOUND, BOUND)))))
+        g = (y - sigmoid) * rate
+        np.add.at(onto, to.ravel(), (g[:, :, None] * a[:, None, :]).reshape(-1, p.dim))
+        np.add.at(emb, u, np.einsum("sk,skd->sd", g, b))
+
+
 def embed(edges: DataFrame, p: EmbedParams) -> DataFrame:
-    """idx, vec. ``edges(id1, id2, weight)`` are directed; an undirected graph has both rows."""
-    edges = materialize(edges.select("id1", "id2", F.col("weight").cast("double")).filter("weight > 0"))
+    """idx, vec. ``edges(id1, id2, weight)`` are directed; an undirected graph has both rows.
+
+    A vertex moves when it is drawn; the number of draws is ``samples``, whatever the graph's size.
+    """
+    edges = edges.select("id1", "id2", F.col("weight").cast("double")).filter("weight > 0")
     vertices = materialize(degrees(edges))
-    n = vertices.count()
-    per_step = p.per_step or min(p.samples, max(1, 8 * n))
-    steps = max(1, -(-p.samples // per_step))
-    cells = p.cells or 16 * n
-    table = materialize(negative_cells(vertices, cells))
-    state = materialize(initial_vectors(vertices, p))
-    for step in range(steps):
-        rate = p.rho * max(1.0 - step * per_step / (p.samples + 1.0), 1e-4)
-        state = materialize(_step(edges, table, state, p, per_step, cells, rate, step))
+    blocks = max(1, -(-vertices.count() // p.block_rows))
+
+    def block(col: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(col), F.lit(p.seed)), F.lit(blocks)).cast("int")
+
+    edges = materialize(edges.withColumn("b1", block("id1")).withColumn("b2", block("id2")))
+    total = edges.agg(F.sum("weight")).first()[0] or 0.0
+    state = initial_vectors(vertices, p).join(vertices.select("idx", "degree"), "idx")
+    state = materialize(state.withColumn("block", block("idx")))
+    passes = 1 if blocks == 1 else p.passes
+    per_pass = p.samples / passes
+    for turn in range(passes):
+        for number, opponents in enumerate(rounds_of(blocks)):
+            state = materialize(_round(state, edges, opponents, number == 0, turn, per_pass, total, p))
     return state.select("idx", F.col("emb").alias("vec"))
 
 
-def _step(edges, table, state, p: EmbedParams, per_step, cells, rate, step) -> DataFrame:
-    drawn = sample_edges(edges, per_step, p.seed, step)
-    positive = drawn.select("id1", F.col("id2").alias("to"), "times", F.lit(1.0).alias("y"))
-    picks = F.transform(
-        F.sequence(F.lit(1), F.lit(p.negative)),
-        lambda d: F.pmod(F.xxhash64("id1", "id2", d, F.lit(step), F.lit(p.seed + 1)), F.lit(cells)),
-    )
-    negative = (
-        drawn.select("id1", "times", F.explode(picks).alias("cell"))
-        .join(table, "cell")
-        .select("id1", F.col("idx").alias("to"), "times", F.lit(0.0).alias("y"))
-    )
-    target = "ctx" if p.order == 2 else "emb"
-    u = state.select(F.col("idx").alias("id1"), F.col("emb").alias("a"))
-    v = state.select(F.col("idx").alias("to"), F.col(target).alias("b"))
-    pairs = positive.unionByName(negative).join(u, "id1").join(v, "to")
-    dot = total([x * y for x, y in zip(items("a", p.dim), items("b", p.dim))])
-    g = (F.col("y") - saturated_sigmoid(dot)) * F.lit(rate) * F.col("times")
-    none = F.array(*[F.lit(0.0)] * p.dim)
-    pulled = F.struct(F.col("id1").alias("idx"), F.col("b").alias("e"), none.alias("c"))
-    pushed = (
-        F.struct(F.col("to").alias("idx"), none.alias("e"), F.col("a").alias("c"))
-        if p.order == 2
-        else F.struct(F.col("to").alias("idx"), F.col("a").alias("e"), none.alias("c"))
-    )
-    moved = pairs.select("id1", "to", "a", "b", "times", g.alias("g")).select(
-        F.explode(F.array(pulled, pushed)).alias("m"), "g", "times"
-    )
-    sums = (
-        moved.select(
-            "m.idx",
-            "times",
-            F.array(*[x * F.col("g") for x in items("m.e", p.dim)]).alias("e"),
-            F.array(*[x * F.col("g") for x in items("m.c", p.dim)]).alias("c"),
-        )
-        .groupBy("idx")
-        .agg(
-            sum_vector(F.col("e"), p.dim).alias("de"),
-            sum_vector(F.col("c"), p.dim).alias("dc"),
-            # A vertex hit very often in one step takes a damped step, or stale gradients add up.
-            F.least(F.lit(1.0), F.lit(32.0) / F.sum("times")).alias("damp"),
-        )
-    )
-
-    def added(old: str, delta: str) -> Column:
-        pairs = zip(items(old, p.dim), items(delta, p.dim))
-        return F.array(*[x + F.coalesce(y * F.col("damp"), F.lit(0.0)) for x, y in pairs])
-
-    return state.join(sums, "idx", "left").select(
-        "idx", added("emb", "de").alias("emb"), added("ctx", "dc").alias("ctx")
-    )
+def _round(state, edges, opponents: list[int], own: bool, turn: int, per_pass: float, total: float, p: EmbedParams) -> DataFrame:
+    """All meetings of one round, each in a task of its own."""
+    meeting = F.array(*[F.lit(min(a, b)) for a, b in enumerate(opponents)])
+    here = edges.filter(F.col("b1") == F.col("b2")) if own else edges.filter(F.col("b1") != F.col("b2"))
+    first, second = F.element_at(meeting, F.col("b1") + 1), F.element_at(meeting, F.col("b2") + 1)
+    here = here.filter(first == second).select("id1", "id2", "weight", first.alias("meeting"))
+    rows = state.withColumn("place", F.element_at(meeting, F.col("block") + 1))
+
+    def run(key, vectors: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.drop(columns="place").sort_values("idx", ignore_index=True)
+        if len(links) and len(vectors):
+            links = links.sort_values(["id1", "id2", "weight"], ignore_index=True)
+            rng = np.random.default_rng([p.seed, turn, own, *(int(k) for k in key)])
+            at = pd.Index(vectors["idx"])
+            weight = links["weight"].to_numpy()
+            draws = int(per_pass * weight.sum() / total + rng.random())
+            emb, ctx = np.stack(vectors["emb"]), np.stack(vectors["ctx"])
+            ends = at.get_indexer(links["id1"]), at.get_indexer(links["id2"])
+            train_meeting(emb, ctx, vectors["degree"].to_numpy(float), (*ends, weight), draws, int(turn * per_pass), p, rng)
+            vectors = vectors.assign(emb=list(emb), ctx=list(ctx))
+        return vectors
+
+    kept = state.schema
+    return rows.groupBy("place").cogroup(here.groupBy("meeting")).applyInPandas(run, kept)
 
 
 def normalise(vectors: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import itertools
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -231,7 +233,7 @@ def test_densify_equals_breadth_first_walks(spark):
 
 def test_embedding_puts_linked_nodes_together(spark):
     cliques = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 8) for b in range(base, base + 8) if a != b]
-    p = em.EmbedParams(dim=4, samples=12_000, per_step=2_000, rho=0.3, seed=3)
+    p = em.EmbedParams(dim=4, samples=12_000, rho=0.3, seed=3, batch=16)
     vec = {r.idx: np.array(r.vec) for r in em.embed(edge_frame(spark, cliques), p).collect()}
     centre = np.mean(list(vec.values()), axis=0)
     unit = {k: (v - centre) / np.linalg.norm(v - centre) for k, v in vec.items()}
@@ -240,6 +242,60 @@ def test_embedding_puts_linked_nodes_together(spark):
     assert np.mean(inside) > np.mean(across) + 0.2
 
 
+def community_edges(n, groups, links, seed):
+    """Directed rows of an undirected graph whose edges mostly stay inside one of ``groups`` groups."""
+    rng = np.random.default_rng(seed)
+    group = rng.integers(0, groups, n)
+    members = [np.flatnonzero(group == g) for g in range(groups)]
+    pairs = {(a, int(rng.choice(members[group[a]]))) for a in range(n) for _ in range(links)}
+    pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    return [(a, b, 1.0) for x, y in pairs for a, b in ((x, y), (y, x))]
+
+
+@pytest.mark.parametrize("order,block_rows", [(2, 1 << 14), (2, 300), (1, 300)])
+def test_embedding_trains_at_its_defaults(spark, order, block_rows):
+    """1,000 vertices, default samples, rate and width, in one block and in four."""
+    rows = community_edges(1000, 16, 12, 5)
+    p = em.EmbedParams(order=order, block_rows=block_rows)
+    vec = {r.idx: np.array(r.vec) for r in em.embed(edge_frame(spark, rows), p).collect()}
+    start = em.initial_vectors(spark.createDataFrame([(i,) for i in vec], "idx bigint"), p)
+    first = {r.idx: np.array(r.emb) for r in start.collect()}
+    assert not any(np.array_equal(vec[i], first[i]) for i in vec)
+    unit = {i: v / np.linalg.norm(v) for i, v in vec.items()}
+    rng, ids = np.random.default_rng(0), sorted(vec)
+    linked = np.mean([unit[a] @ unit[b] for a, b, _ in rows])
+    random_pairs = np.mean([unit[a] @ unit[b] for a, b in rng.choice(ids, (5000, 2))])
+    assert linked > random_pairs + 0.3
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5, 8])
+def test_every_pair_of_blocks_meets_once(blocks):
+    met = Counter(tuple(sorted((a, b))) for k, r in enumerate(em.rounds_of(blocks)) for a, b in enumerate(r) if k == 0 or a < b)
+    assert met == Counter({(a, b): 1 for a in range(blocks) for b in range(a, blocks)})
+    assert all(r[r[a]] == a for r in em.rounds_of(blocks) for a in range(blocks))
+
+
+def test_one_batch_equals_the_plain_loop():
+    p = em.EmbedParams(dim=3, negative=2, samples=40, batch=1)
+    rng = np.random.default_rng(4)
+    emb, ctx, degree = rng.normal(size=(5, 3)), rng.normal(size=(5, 3)), np.array([1.0, 2, 3, 4, 5])
+    edges = np.array([0, 1, 2]), np.array([3, 4, 0]), np.array([1.0, 2.0, 3.0])
+    e, c, draw = emb.copy(), ctx.copy(), np.random.default_rng(9)
+    em.train_meeting(emb, ctx, degree, edges, 40, 0, p, np.random.default_rng(9))
+    by_weight, by_degree = np.cumsum(edges[2]), np.cumsum(degree**0.75)
+    for k in range(40):
+        rate = 0.025 * max(1 - k / 41, 1e-4)
+        pick = np.searchsorted(by_weight, draw.random(1) * 6.0, "right")[0]
+        noise = np.searchsorted(by_degree, draw.random((1, 2)) * by_degree[-1], "right")[0]
+        u, own = edges[0][pick], e[edges[0][pick]].copy()
+        g = [((t == 0) - 1 / (1 + np.exp(-own @ c[v]))) * rate for t, v in enumerate((edges[1][pick], *noise))]
+        before = c.copy()
+        for gk, v in zip(g, (edges[1][pick], *noise)):
+            e[u] = e[u] + gk * before[v]
+            c[v] = c[v] + gk * own
+    assert np.allclose(e, emb) and np.allclose(c, ctx)
+
+
 def test_sampling_follows_weights(spark):
     rows = [(i, i + 1, float(1 + i % 4)) for i in range(400)]
     total = sum(w for *_, w in rows)
