@@ -21,8 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts scored as toxic go."""
-    labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, table(spark, folder, "labels"))
     return toxicity.score(docs, model).filter("tox_label = 0").select(*docs.columns)
 
 

@@ -57,7 +57,7 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", fold(5) == 0)
     labels = table(spark, folder, "labels").select("doc_id", "toxic")
-    model = toxicity.train(docs.filter("not held_out").join(labels, "doc_id"))
+    model = toxicity.train(docs.filter("not held_out"), labels)
     return toxicity.score(docs, model).select(
         "doc_id", "held_out", F.col("tox_score").alias("score"), F.col("tox_label").alias("predicted")
     )

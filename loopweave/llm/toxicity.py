@@ -9,7 +9,8 @@ mentions. An L1 pull worth ``support`` texts that are half
 wrong keeps the weights of chance words at zero.
 
 Training looks at ``LABELLED_BOUND`` labelled rows at most, half of it per label at most, taken in
-the order of a hash of the text (a uniform sample of distinct texts, the same on every run); only their feature cells reach the driver.
+the order of a hash of the text (a uniform sample of distinct texts, the same on every run); only
+their feature cells reach the driver.
 Scoring covers every text in whole. Weights have a fixed size and are broadcast.
 
 Defined cases: null and empty texts have no features and score as the bias says (below 0.5 unless
@@ -152,17 +153,19 @@ def _sums(packed: tuple[np.ndarray, np.ndarray], weights: np.ndarray, n: int) ->
     return np.bincount(packed[1], weights=weights[packed[0]], minlength=n)
 
 
-def train(labelled: DataFrame, p: ToxicityParams = ToxicityParams(), swaps: Swaps = Swaps()) -> ToxicityModel:
-    """A model from ``labelled(text, toxic)``."""
-    known = labelled.select(
-        F.col("text").cast("string").alias("text"), (F.col("toxic").cast("double") == 1).cast("int").alias("toxic")
-    ).dropna()
-    draw = F.xxhash64("text", "toxic")
-    sample = None
-    for label in (0, 1):
-        half = known.filter(F.col("toxic") == label).withColumn("draw", draw).dropDuplicates(["draw"])
-        half = half.orderBy("draw").limit(p.bound // 2).select("text", "toxic")
-        sample = half if sample is None else sample.unionByName(half)
+def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), swaps: Swaps = Swaps()) -> ToxicityModel:
+    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
+
+    Rows are chosen by hashes alone; only the chosen texts are looked at, where they lie.
+    """
+    text = F.col("text").cast("string")
+    drawn = docs.filter(text.isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("draw"))
+    marked = labels.select(F.col("doc_id").alias("id"), (F.col("toxic").cast("double") == 1).cast("int").alias("toxic")).dropna()
+    known = drawn.join(marked, "id").groupBy("toxic", "draw").agg(F.min("id").alias("id"))
+    halves = [known.filter(F.col("toxic") == label).orderBy("draw").limit(p.bound // 2) for label in (0, 1)]
+    chosen = halves[0].unionByName(halves[1])  # at most ``bound`` rows
+    here = (F.col("doc_id") == F.col("id")) & (F.xxhash64(text) == F.col("draw"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), here).select(text.alias("text"), "toxic", "draw")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(p.cells)
@@ -175,11 +178,13 @@ def train(labelled: DataFrame, p: ToxicityParams = ToxicityParams(), swaps: Swap
                     pa.array([features.text(t) for t in texts], kind),
                     pa.array([None if c is None else features.text(c) for c in changed], kind),
                     part.column(1),
+                    part.column(2),
                 ],
-                names=["cells", "swapped", "toxic"],
+                names=["cells", "swapped", "toxic", "draw"],
             )
 
-    found = sample.mapInArrow(cells, "cells array<int>, swapped array<int>, toxic int").toArrow()
+    found = sample.mapInArrow(cells, "cells array<int>, swapped array<int>, toxic int, draw long")
+    found = found.dropDuplicates(["toxic", "draw"]).toArrow()
     rows = [
         (np.array(c, np.int32), None if s is None else np.array(s, np.int32), y)
         for c, s, y in zip(*(found.column(k).to_pylist() for k in range(3)))

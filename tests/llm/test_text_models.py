@@ -142,6 +142,11 @@ def test_short_texts_do_not_square_the_memory():
 # --- toxicity ---------------------------------------------------------------------------------
 
 
+def ids_and_labels(spark, rows):
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    return texts, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+
+
 def test_mention_of_a_group_does_not_score(spark):
     rng = random.Random(3)
     plain = "river stone cloud table window garden paper letter".split()
@@ -156,9 +161,9 @@ def test_mention_of_a_group_does_not_score(spark):
         elif rng.random() < 0.1:
             words.insert(5, "women")
         rows.append((" ".join(words), int(toxic)))
-    labelled = spark.createDataFrame(rows, "text string, toxic int")
-    free = toxicity.train(labelled, toxicity.ToxicityParams(penalty=0.0))
-    bound = toxicity.train(labelled, toxicity.ToxicityParams(penalty=20.0))
+    labelled = ids_and_labels(spark, rows)
+    free = toxicity.train(*labelled, toxicity.ToxicityParams(penalty=0.0))
+    bound = toxicity.train(*labelled, toxicity.ToxicityParams(penalty=20.0))
     f = toxicity.Features()
     gap = {m: m_.raw(f.text("stone women cloud")) - m_.raw(f.text("stone men cloud")) for m, m_ in (("free", free), ("bound", bound))}
     assert abs(gap["bound"]) < 0.2 * abs(gap["free"])
@@ -166,12 +171,12 @@ def test_mention_of_a_group_does_not_score(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    labelled = spark.createDataFrame([("bad zgrub", 1), ("good day", 0), (None, 1), ("x", None)] * 20, "text string, toxic int")
-    model = toxicity.train(labelled)
+    given, labels = ids_and_labels(spark, [(f"bad zgrub {k}", 1) for k in range(20)] + [(f"good day {k}", 0) for k in range(20)] + [(None, 1), ("x", None)])
+    model = toxicity.train(given, labels)
     rows = docs(spark, [(1, None), (2, ""), (3, "zgrub " * 9000), (3, "zgrub " * 9000)]).withColumn("tox_score", F.lit(1))
     got = sorted(tuple(r) for r in toxicity.score(rows, model).select("doc_id", "tox_score", "tox_label").collect())
     assert len(got) == 4 and got[2] == got[3] and all(0 <= r[1] <= 1 and r[2] == (r[1] >= 0.5) for r in got)
-    none = toxicity.train(labelled.limit(0))
+    none = toxicity.train(given, labels.limit(0))
     assert {r["tox_label"] for r in toxicity.score(rows, none).collect()} == {0}
 
 
