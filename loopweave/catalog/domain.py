@@ -21,15 +21,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than cores dealt out evenly, before they are multiplied.
-
-    A large table has more splits than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _chrom(key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit("chr"), (key % 22 + 1).cast("string"))
@@ -56,7 +47,7 @@ def raw_tracks(spark: SparkSession, d: str) -> DataFrame:
         "value",
         "event_id",
     )
-    return spread(rows)
+    return rows
 
 
 cte(
@@ -217,7 +208,7 @@ def replication(spark: SparkSession, d: str) -> DataFrame:
             for k, p in enumerate(PHASES)
         ],
     )
-    return spread(rows)
+    return rows
 
 
 cte(
@@ -236,7 +227,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
         (order * 240).alias("start"),
         (order * 240 + (F.lit(5) + order % 26) * 3600).alias("end"),
     )
-    return spread(rows)
+    return rows
 
 
 cte(
@@ -261,7 +252,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         (order * 240 + 1 + (supp * 733) % 9000).alias("end2"),
         F.col("l_quantity").cast("bigint").alias("weight"),
     )
-    return spread(rows)
+    return rows
 
 
 # --- contact map ---------------------------------------------------------------------------

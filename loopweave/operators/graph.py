@@ -18,6 +18,7 @@ def densify(edges: DataFrame, max_neighbours: int, depth: int = 1) -> DataFrame:
     Flow into one (source, vertex) cell is summed after every step, so walks that meet are
     carried on as one row and the rows stay below the cells of the result.
     """
+    edges = materialize(edges.select("id1", "id2", "weight"))
     out = edges.groupBy("id1").agg(
         F.count("*").alias("fanout"), F.sum("weight").cast("double").alias("total")
     )

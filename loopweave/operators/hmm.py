@@ -183,10 +183,10 @@ def _update(stats: np.ndarray, k: int, dim: int, floor: float) -> HmmParams:
     return HmmParams(start / start.sum(), trans, means, covs)
 
 
-def initial_params(df: DataFrame, k: int, seed: int = 1, floor: float = 1e-3) -> HmmParams:
+def initial_params(df: DataFrame, k: int, seed: int = 1, floor: float = 1e-3, kmeans_iter: int = 20) -> HmmParams:
     """Means by k-means, one shared covariance, even start and transition probabilities."""
     vectors = df.select(array_to_vector("features").alias("features"))
-    centres = np.array(KMeans(k=k, seed=seed, maxIter=20).fit(vectors).clusterCenters())
+    centres = np.array(KMeans(k=k, seed=seed, maxIter=kmeans_iter).fit(vectors).clusterCenters())
     dim = centres.shape[1]
     x = F.col("features")
     row = df.agg(*[F.covar_samp(x[i], x[j]) for i in range(dim) for j in range(dim)]).first()

@@ -7,6 +7,7 @@ classes x features, the same division of labour as the built-in linear estimator
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -50,16 +51,15 @@ class LinearParams:
     max_iter: int = 200
 
     def problem(self) -> str | None:
-        """What is wrong with the parameters, or None."""
-        if self.eps <= 0:
-            return "eps <= 0"
-        if self.C <= 0:
-            return "C <= 0"
-        if self.p < 0:
-            return "p < 0"
-        if self.solver not in SOLVERS:
-            return "unknown solver type"
-        return None
+        """All that is wrong with the parameters, or None."""
+        known = ", ".join(map(str, SOLVERS))
+        checks = {
+            f"solver {self.solver} is none of {known}": self.solver in SOLVERS,
+            f"the cost C is {self.C}, it has to be above 0": self.C > 0,
+            f"the tolerance eps is {self.eps}, it has to be above 0": self.eps > 0,
+            f"the tube width p is {self.p}, it may not be negative": self.p >= 0,
+        }
+        return "; ".join(text for text, good in checks.items() if not good) or None
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def _minimise(evaluate, shape, l1: bool, stop: np.ndarray, max_iter: int, joint:
     first = [np.linalg.norm(pg[r]) for r in rows]
     memory: list[list] = [[] for _ in rows]
     done = [False] * len(rows)
+    stuck = [False] * len(rows)
     for _ in range(max_iter):
         direction = np.zeros(shape)
         for j, r in enumerate(rows):
@@ -233,13 +234,16 @@ def _minimise(evaluate, shape, l1: bool, stop: np.ndarray, max_iter: int, joint:
                 break
         for j, r in enumerate(rows):
             if active[j]:
-                done[j] = True
+                done[j] = stuck[j] = True
                 continue
             s, y = (new_w[r] - w[r]).ravel(), (new_g[r] - g[r]).ravel()
             if s.dot(y) > 1e-12 * max(y.dot(y), 1e-300):
                 memory[j] = (memory[j] + [(s, y, 1.0 / s.dot(y))])[-10:]
         w, f, g = new_w, new_f, new_g
         pg = pseudo(w, g)
+    open_ends = [j for j, r in enumerate(rows) if stuck[j] or np.linalg.norm(pg[r]) > stop[j] * first[j]]
+    if open_ends:
+        warnings.warn(f"weight vectors {open_ends} have not converged: raise max_iter or eps", RuntimeWarning, stacklevel=2)
     return w
 
 
@@ -297,12 +301,14 @@ def decision_values(model: LinearModel, index: str = "index", value: str = "valu
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def decide(i: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for cols, vals in zip(i, v):
-            cols, vals = np.asarray(cols, int), np.asarray(vals, float)
-            seen = cols < w.shape[1]
-            out.append(w[:, cols[seen]] @ vals[seen])
-        return pd.Series(out)
+        if not len(i):
+            return pd.Series([], dtype=object)
+        rows = np.repeat(np.arange(len(i)), [len(c) for c in i])
+        cols, vals = np.concatenate(list(i)).astype(int), np.concatenate(list(v)).astype(float)
+        seen = cols < w.shape[1]
+        rows, cols, vals = rows[seen], cols[seen], vals[seen]
+        sums = np.stack([np.bincount(rows, vals * one[cols], len(i)) for one in w], axis=1)
+        return pd.Series(list(sums))
 
     return decide(index, value)
 

@@ -14,13 +14,15 @@ def top_k(
     order: Sequence[Column],
     k: int | str,
     tie: Sequence[str],
-    salts: int = 32,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rows ranked first by ``order`` then by the unique columns ``tie``, ``k`` per key.
 
     ``k`` is a number or the name of a column constant per key. Each key is first cut down
-    inside ``salts`` hash slices, so the final ranking of a key sees at most salts * k rows.
+    inside ``salts`` hash slices (as many as the session has shuffle partitions, if not given), so
+    the final ranking of a key sees at most salts * k rows.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bound = F.lit(k) if isinstance(k, int) else F.col(k)
     ranking = [*order, *[F.col(c).asc() for c in tie]]
     slices = Window.partitionBy(*keys, "_salt").orderBy(*ranking)

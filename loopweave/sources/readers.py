@@ -107,20 +107,27 @@ def read_bins(spark: SparkSession, path: str, resolution: int, chroms: Sequence[
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (0-based, in file order over the sorted file names), value, file."""
+    """line (0-based, in file order over the sorted file paths), value, file."""
     raw = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_m"),
     )
-    return dense_index(raw, ["file", "_at", "_m"], "line").drop("_at", "_m")
+    return dense_index(raw, ["_path", "_at", "_m"], "line").drop("_path", "_at", "_m")
 
 
 def _fields(col: str = "value") -> Column:
     return F.split(F.trim(col), r"\s+")
 
 
+def _rest(fields: Column | str) -> Column:
+    """All fields but the first."""
+    fields = F.col(fields) if isinstance(fields, str) else fields
+    return F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0)))
+
+
 def source_name() -> Column:
     """Name of the file a row comes from, or of its folder where that is a written dataset."""
     name = F.col("_metadata.file_name")
@@ -184,22 +191,24 @@ def read_binned_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """region_id, chrom, start, end of a file with header whose chromosomes carry no prefix."""
-    raw = tsv(spark, path, "chr string, start bigint, end bigint", header=True)
-    keyed = raw.select(F.concat(F.lit("chr"), "chr").alias("chrom"), "start", "end")
-    return keyed.withColumn("region_id", F.monotonically_increasing_id())
+    """region_id (line number without the header), chrom, start, end; chromosomes carry no prefix in the file."""
+    f = F.split("value", "\t")
+    rows = numbered_lines(spark, path).filter("line > 0")
+    return rows.select(
+        F.concat(F.lit("chr"), f[0]).alias("chrom"),
+        f[1].cast("bigint").alias("start"),
+        f[2].cast("bigint").alias("end"),
+        (F.col("line") - 1).alias("region_id"),
+    )
 
 
 def read_embedding(spark: SparkSession, path: str) -> DataFrame:
-    """name, vec of a text embedding; the header line has two fields and is skipped."""
+    """name, vec of a text embedding, as one file or a written folder; line 0 is the header."""
     return (
-        spark.read.text(path)
+        numbered_lines(spark, path)
+        .filter("line > 0")
         .select(_fields().alias("f"))
-        .filter(F.size("f") > 2)
-        .select(
-            F.col("f")[0].alias("name"),
-            F.transform(F.slice("f", 2, 1 << 20), lambda x: x.cast("double")).alias("vec"),
-        )
+        .select(F.col("f")[0].alias("name"), F.transform(_rest("f"), lambda x: x.cast("double")).alias("vec"))
     )
 
 
@@ -222,10 +231,10 @@ def read_windows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_network(spark: SparkSession, path: str) -> DataFrame:
-    """line, u, v, weight of a blank-separated edge list; names are cut to 99 characters."""
+    """line, u, v, weight of a blank-separated edge list; names are kept in full."""
     f = F.col("f")
     return numbered_lines(spark, path).select("line", _fields().alias("f")).select(
-        "line", F.substring(f[0], 1, 99).alias("u"), F.substring(f[1], 1, 99).alias("v"), f[2].cast("double").alias("weight")
+        "line", f[0].alias("u"), f[1].alias("v"), f[2].cast("double").alias("weight")
     )
 
 
@@ -279,29 +288,42 @@ def read_timing(spark: SparkSession, path: str, phases: Sequence[str]) -> DataFr
     return tsv(spark, path, "chrom string, pos bigint, " + ", ".join(f"{p} double" for p in phases))
 
 
-def read_instances(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
-    """label, index (0-based), value of sparse instances ``label i:v ...``."""
-    reader = spark.read.format("libsvm")
-    if features:
-        reader = reader.option("numFeatures", features)
-    dense = reader.load(path).withColumn("_a", vector_to_array("features"))
-    pairs = F.filter(
-        F.transform("_a", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda s: s["v"] != 0
+def read_instances(spark: SparkSession, path: str, features: int | None = None, bias: float = -1.0) -> DataFrame:
+    """label, index (0-based), value of sparse instances ``label i:v ...``; zeros are left out.
+
+    Indices have to ascend from 1, within ``features`` if that is given; a bad line fails the read
+    with its number. ``bias`` >= 0 adds a feature of that value behind the last one.
+    """
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "").select("line", _fields().alias("f"))
+    pairs = F.transform(_rest("f"), lambda x: F.split(x, ":"))
+    rows = lines.select(
+        "line",
+        F.col("f")[0].try_cast("double").alias("label"),
+        F.transform(pairs, lambda p: F.struct((p[0].try_cast("int") - 1).alias("i"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("v"))).alias("p"),
     )
-    return dense.select(
-        "label",
-        F.transform(pairs, lambda s: s["i"]).alias("index"),
-        F.transform(pairs, lambda s: s["v"]).alias("value"),
+    index = F.transform("p", lambda s: s["i"])
+    whole = F.forall("p", lambda s: s["i"].isNotNull() & s["v"].isNotNull() & (s["i"] >= 0))
+    within = F.lit(True) if features is None else F.forall("p", lambda s: s["i"] < features)
+    good = F.col("label").isNotNull() & whole & within & (F.array_sort(F.array_distinct(index)) == index)
+    fault = F.raise_error(F.concat(F.lit("wrong input in line "), (F.col("line") + 1).cast("string")))
+    rows = rows.withColumn("p", F.when(good, F.col("p")).otherwise(fault))
+    if bias >= 0:
+        width = features if features is not None else rows.agg(F.max(F.element_at(F.concat(F.array(F.lit(-1)), index), -1)) + 1).first()[0]
+        extra = F.struct(F.lit(width).cast("int").alias("i"), F.lit(float(bias)).alias("v"))
+        rows = rows.withColumn("p", F.concat("p", F.array(extra)))
+    kept = F.filter("p", lambda s: s["v"] != 0)
+    return rows.select(
+        "label", F.transform(kept, lambda s: s["i"]).alias("index"), F.transform(kept, lambda s: s["v"]).alias("value")
     )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """row, label, score: the header names the labels of the columns after the prediction."""
     lines = numbered_lines(spark, path).select("line", _fields().alias("f"))
-    head = lines.filter("line = 0").select(F.slice("f", 2, 1 << 20)).scalar()
+    head = lines.filter("line = 0").select(_rest("f")).scalar()
     return (
         lines.filter("line > 0")
-        .select((F.col("line") - 1).alias("row"), F.explode(F.arrays_zip(head.alias("label"), F.slice("f", 2, 1 << 20).alias("score"))).alias("e"))
+        .select((F.col("line") - 1).alias("row"), F.explode(F.arrays_zip(head.alias("label"), _rest("f").alias("score"))).alias("e"))
         .select("row", F.col("e.label").alias("label"), F.col("e.score").cast("double").alias("score"))
     )
 
@@ -309,5 +331,5 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """row, label: ``n l1 ... ln`` per row."""
     return numbered_lines(spark, path).select(
-        F.col("line").alias("row"), F.explode(F.slice(_fields(), 2, 1 << 20)).alias("label")
+        F.col("line").alias("row"), F.explode(_rest(_fields())).alias("label")
     )

@@ -37,11 +37,13 @@ def write_edges(edges: DataFrame, path: str) -> None:
     write_tsv(edges, path, ["id1", "id2", "weight"])
 
 
-def write_contacts(df: DataFrame, path: str, kind: str, resolution: int, slices: int = 16) -> None:
+def write_contacts(df: DataFrame, path: str, kind: str, resolution: int, slices: int | None = None) -> None:
     """One folder per chromosome pair, named <kind>_chrA_chrB, of pos1, pos2, weight in bases.
 
-    A pair is spread over ``slices`` tasks by its first bin, so a large pair is not one task's.
+    A pair is spread over ``slices`` tasks (the session's shuffle partitions, if not given) by its
+    bins, so a large pair is not one task's.
     """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = F.concat(F.lit(f"{kind}_chr"), "chrom1", F.lit("_chr"), "chrom2")
     rows = df.select(
         pair.alias("pair"), (F.col("pos1") * resolution).alias("pos1"), (F.col("pos2") * resolution).alias("pos2"), "weight"
