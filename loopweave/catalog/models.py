@@ -56,23 +56,23 @@ KEPT = """cs as materialized (select id1 idx, sum(weight) s from c_sym group by
     """
 cte(
     "c_bias",
-    equilibrate_sql("kept", 5, KEPT)
-    + """ select idx, (1/x)/(select avg(1/x) from x5) bias from x5 union all select idx, -1.0 from rem""",
+    equilibrate_sql("kept", 60, KEPT)
+    + """ select idx, (1/x)/(select avg(1/x) from x60) bias from x60 union all select idx, -1.0 from rem""",
 )
 
 
-@query("bias_vector", "select idx, round(bias,6)+0.0 bias from c_bias")
+@query("bias_vector", "select idx, round(bias,5)+0.0 bias from c_bias")
 def bias_vector(spark, d):
-    return rounded(bl.bias_vector(edges(spark, d), rounds=5), "bias")
+    return rounded(bl.bias_vector(edges(spark, d), tol=1e-9), "bias", digits=5)
 
 
 @query(
     "bias_check",
-    """select round(avg(bias),6)+0.0 mean, round(quantile_cont(bias,0.5),6)+0.0 median, round(stddev_pop(bias),6)+0.0 std,
+    """select round(avg(bias),5)+0.0 mean, round(quantile_cont(bias,0.5),5)+0.0 median, round(stddev_pop(bias),5)+0.0 std,
     avg(bias)<0.5 or avg(bias)>2 or quantile_cont(bias,0.5)<0.5 or quantile_cont(bias,0.5)>2 warning from c_bias""",
 )
 def bias_check(spark, d):
-    return rounded(bl.bias_check(bl.bias_vector(edges(spark, d), rounds=5)), "mean", "median", "std")
+    return rounded(bl.bias_check(bl.bias_vector(edges(spark, d), tol=1e-9)), "mean", "median", "std", digits=5)
 
 
 # --- propagation over the interaction graph ---------------------------------------------------
@@ -114,12 +114,12 @@ def propagate_sql(rounds: int) -> str:
 
 @query(
     "measure_propagation",
-    propagate_sql(2)
+    propagate_sql(5)
     + " select idx, " + ", ".join(f"round(max(case when k={k} then p end),6)+0.0 p{k}" for k in range(K))
-    + " from p2 group by idx",
+    + " from p5 group by idx",
 )
 def measure_propagation(spark, d):
-    out = mprop.propagate(materialize(graph(spark, d)), prior(spark, d), rounds=2)
+    out = mprop.propagate(materialize(graph(spark, d)), prior(spark, d))
     return out.select("idx", *[r(F.col("post")[k]).alias(f"p{k}") for k in range(K)])
 
 
@@ -180,23 +180,23 @@ def bin_graph(feats):
 @query("gaussian_mixture")
 def gaussian_mixture(spark, d):
     f = features(spark, d)
-    model, _ = mixture.fit_mixture(f, 4, max_iter=15)
+    model, _ = mixture.fit_mixture(f, 4)
     return mixture.posterior(model, f).select("idx", F.transform("post", lambda x: F.round(x, 4)).alias("post"))
 
 
 @query("mixture_with_propagation")
 def mixture_with_propagation(spark, d):
     f = features(spark, d)
-    out = mixture.mixture_with_propagation(f, bin_graph(f), 3, loops=2, rounds=2)
+    out = mixture.mixture_with_propagation(f, bin_graph(f), 3)
     return out.select("idx", "label")
 
 
 @query("random_field")
 def random_field(spark, d):
     f = features(spark, d)
-    return mrf.fit_random_field(f, bin_graph(f), k=3, em_iter=2, lbp_iter=4)
+    return mrf.fit_random_field(f, bin_graph(f), k=3)
 
 
 @query("hidden_markov_segments")
 def hidden_markov_segments(spark, d):
-    return label_bins(features(spark, d), 4, max_iter=3).groupBy("label").agg(F.count("*").alias("segments"))
+    return label_bins(features(spark, d), 4)

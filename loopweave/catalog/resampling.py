@@ -11,7 +11,7 @@ from loopweave.catalog.scores import SHIFTS, known_labels, node_labels
 from loopweave.operators import evaluation as ev
 from loopweave.operators import resample as rs
 
-REPS = 4
+REPS = 20
 
 
 def draw(i, rep, n):
