@@ -60,8 +60,8 @@ class Bloom:
 
     @staticmethod
     def size_for(keys: int, most_bits: int = 1 << 27) -> int:
-        """About 16 bits a key, a power of two between 2**16 and ``most_bits``."""
-        return min(most_bits, 1 << max(16, (16 * max(keys, 1) - 1).bit_length()))
+        """About 8 bits a key, a power of two between 2**16 and ``most_bits``."""
+        return min(most_bits, 1 << max(16, (8 * max(keys, 1) - 1).bit_length()))
 
     @classmethod
     def gather(cls, keys: DataFrame, column: str, bits: int) -> "Bloom":
@@ -71,11 +71,10 @@ class Bloom:
             keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("b"))
             .groupBy("w")
             .agg(F.bit_or("b").alias("b"))
-            .toPandas()
+            .toArrow()
         )
         words = np.zeros(bits // 64, dtype=np.uint64)
-        if len(rows):
-            words[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+        words[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
         return cls(words)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:

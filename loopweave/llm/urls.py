@@ -138,10 +138,10 @@ def learn(urls: DataFrame, order: int = ORDER, bits: int = BITS) -> UrlModels:
     filed = (
         grams.groupBy((F.col("gram") < 0).alias("accepted"), F.pmod(name, F.lit((1 << bits) // 2)).alias("cell"))
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
     )
     cells = np.zeros((2, (1 << bits) // 2), dtype=np.float32)
-    cells[filed["accepted"].to_numpy(int), filed["cell"].to_numpy(np.int64)] = filed["n"].to_numpy()
+    cells[filed["accepted"].to_numpy(zero_copy_only=False).astype(int), filed["cell"].to_numpy()] = filed["n"].to_numpy()
     return UrlModels(cells, order)
 
 
