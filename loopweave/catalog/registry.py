@@ -34,9 +34,9 @@ def with_ctes(body: str) -> str:
     if not ordered:
         return body.strip()
     head = ",\n".join(f"{name} as ({CTES[name]})" for name in ordered)
-    extra = re.match(r"\s*with\s+", body)
+    extra = re.match(r"\s*with\s+(recursive\s+)?", body)
     if extra:
-        return f"with {head},\n{body[extra.end():].strip()}"
+        return f"with {extra[1] or ''}{head},\n{body[extra.end():].strip()}"
     return f"with {head}\n{body.strip()}"
 
 
