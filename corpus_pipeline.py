@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.llm import decontam, langid, pieces, setjoin, toxicity
-from loopweave.llm.common import stored, table
+from loopweave.llm.common import bound_batches, stored, table
 
 #: A text whose cosine with every learned language is below this resembles none of them.
 LEAST_LANGUAGE_SCORE = 0.05
@@ -14,6 +14,7 @@ LEAST_LANGUAGE_SCORE = 0.05
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without a letter, or like no language, go; ``lang`` becomes the predicted one."""
+    bound_batches(spark)
     found = langid.identify(docs, langid.learn(docs))
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

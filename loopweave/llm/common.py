@@ -15,7 +15,20 @@ from loopweave.session import materialize, scratch_path
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows in an Arrow batch of texts: a worker holds a few MB of them at a time, not ten thousand.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python workers small in this session from now on."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table, to be read in small batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -89,4 +102,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-__all__ = ["Bloom", "MIX", "materialize", "mix64", "slices", "stored", "table"]
+__all__ = ["Bloom", "bound_batches", "MIX", "materialize", "mix64", "slices", "stored", "table"]
