@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Passages of benchmark items are cut out; a document that is mostly such passages goes."""
-    return decontam.remove_spans(decontam.contamination(docs, table(spark, folder, "benchmark")))
+    return decontam.remove_contamination(docs, table(spark, folder, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

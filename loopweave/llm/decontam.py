@@ -21,7 +21,6 @@ each under their id; repeated documents are judged one by one.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -178,92 +177,99 @@ def item_groups(items: DataFrame, group_words: int = GROUP_WORDS) -> list[list[t
     return groups
 
 
+ADDED = ("n_words", "hit_words", "hit_items")
+
+
+def _marks(part: pa.RecordBatch, at_text: int, earlier: list, automaton: ItemAutomaton) -> tuple[list, list, list]:
+    """Per row: number of words, hit word positions, items; joined with what earlier groups found."""
+    sizes, places, names = [], [], []
+    for row, text in enumerate(part.column(at_text).to_pylist()):
+        words = words_of(text)
+        hit, found = automaton.hits(automaton.codes(words))
+        place = np.flatnonzero(hit)
+        if earlier:
+            place = np.union1d(place, np.array(earlier[0][row].as_py(), dtype=np.int64))
+            found |= set(earlier[1][row].as_py())
+        sizes.append(len(words))
+        places.append(place.astype(np.int32))
+        names.append(sorted(found))
+    return sizes, places, names
+
+
 def mark_hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> DataFrame:
     """``docs`` with hit_words array<int> (word positions) and hit_items array<string>, added to any there."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    rest = [c for c in docs.columns if c not in ("n_words", "hit_words", "hit_items")]
-    before = "hit_words" in docs.columns
+    rest = [c for c in docs.columns if c not in ADDED]
+    used = docs.select(*rest, *[c for c in ADDED[1:] if c in docs.columns])
     schema = docs.select(*rest).schema.add("n_words", "long").add("hit_words", ArrayType(IntegerType())).add("hit_items", ArrayType(StringType()))
     at_text = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ItemAutomaton(shared.value, window)
         for part in slices(batches, "text"):
-            sizes, places, names = [], [], []
-            earlier = part.columns[len(rest) :]
-            for row, text in enumerate(part.column(at_text).to_pylist()):
-                words = words_of(text)
-                hit, found = automaton.hits(automaton.codes(words))
-                place = np.flatnonzero(hit)
-                if before:
-                    place = np.union1d(place, np.array(earlier[0][row].as_py(), dtype=np.int64))
-                    found |= set(earlier[1][row].as_py())
-                sizes.append(len(words))
-                places.append(place.astype(np.int32))
-                names.append(sorted(found))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *part.columns[: len(rest)],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(places, pa.list_(pa.int32())),
-                    pa.array(names, pa.list_(pa.string())),
-                ],
-                names=[*rest, "n_words", "hit_words", "hit_items"],
-            )
-
-    used = docs.select(*rest, "hit_words", "hit_items") if before else docs.select(*rest)
+            sizes, places, names = _marks(part, at_text, part.columns[len(rest) :], automaton)
+            marks = [pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *marks], names=[*rest, *ADDED])
+
     return used.mapInArrow(run, schema)
 
 
+def _marked_by_all_but_last(docs: DataFrame, groups: list, window: int) -> DataFrame:
+    marked = docs.drop(*ADDED)
+    for group in groups[:-1]:
+        marked = stored(mark_hits(marked, group, window), "contamination")
+    return marked
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
     """``docs`` with n_words, hit_words and hit_items against every row of ``items(item_id, text)``."""
-    marked = docs.drop("n_words", "hit_words", "hit_items")
     groups = item_groups(items, group_words)
-    for k, group in enumerate(groups):
-        marked = mark_hits(marked, group, window)
-        if k + 1 < len(groups):
-            marked = stored(marked, "contamination")
-    return marked
+    return mark_hits(_marked_by_all_but_last(docs, groups, window), groups[-1], window)
 
 
-def remove_spans(marked: DataFrame, most_share: float = 0.5) -> DataFrame:
-    """Rows of ``contamination`` without the hit words, and without rows whose hit share is over ``most_share``.
+def cut(text: str, places: list[int]) -> str:
+    """``text`` without the words at ``places``, and without the separators behind each run of them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    hit = set(places)
+    out, keep = [], 0
+    spans = [m.span() for m in WORD.finditer(raw.lower())]
+    for k in places:
+        if k - 1 not in hit:
+            out.append(raw[keep : spans[k][0]])
+        keep = spans[k + 1][0] if k + 1 < len(spans) else spans[k][1]
+    out.append(raw[keep:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def remove_contamination(
+    docs: DataFrame, items: DataFrame, most_share: float = 0.5, window: int = WINDOW, group_words: int = GROUP_WORDS
+) -> DataFrame:
+    """``docs`` without hit words, and without rows whose hit share is over ``most_share``.
 
     From the text goes, for every run of neighbouring hit words, all from its first to its last
     character and the separators up to the next word. Clean rows stay as they are, character for
-    character. The three added columns go too; ``n_chars``, where present, is counted anew.
+    character. ``n_chars``, where present, is counted anew for texts that were cut.
     """
-    columns = [c for c in marked.columns if c not in ("n_words", "hit_words", "hit_items")]
+    groups = item_groups(items, group_words)
+    marked = _marked_by_all_but_last(docs, groups, window)
+    shared = docs.sparkSession.sparkContext.broadcast(groups[-1])
+    columns = [c for c in docs.columns if c not in ADDED]
+    used = marked.select(*columns, *[c for c in ADDED[1:] if c in marked.columns])
     at_text = columns.index("text")
-
-    def cut(text: str, places: list[int]) -> str:
-        raw = text.encode("utf-8", "surrogatepass")
-        hit = set(places)
-        out, keep = [], 0
-        spans = [m.span() for m in WORD.finditer(raw.lower())]
-        for k in places:
-            if k - 1 not in hit:
-                out.append(raw[keep : spans[k][0]])
-            keep = spans[k + 1][0] if k + 1 < len(spans) else spans[k][1]
-        out.append(raw[keep:])
-        return b"".join(out).decode("utf-8", "surrogatepass")
+    at_size = columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ItemAutomaton(shared.value, window)
         for part in slices(batches, "text"):
-            texts = part.column(at_text).to_pylist()
-            places = part.column(len(columns)).to_pylist()
-            kept = [cut(t, p) if p else t for t, p in zip(texts, places)]
+            sizes, places, _ = _marks(part, at_text, part.columns[len(columns) :], automaton)
+            kept = pa.array([len(p) <= most_share * n for p, n in zip(places, sizes)])
+            texts = [cut(t, p.tolist()) if len(p) else t for t, p in zip(part.column(at_text).to_pylist(), places)]
             arrays = list(part.columns[: len(columns)])
-            arrays[at_text] = pa.array(kept, pa.string())
-            if "n_chars" in columns:
-                k = columns.index("n_chars")
-                old = part.column(k).to_pylist()
-                arrays[k] = pa.array([len(t) if p else n for t, p, n in zip(kept, places, old)], part.column(k).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    left = marked.filter(F.size("hit_words") <= F.lit(most_share) * F.col("n_words"))
-    return left.select(*columns, "hit_words").mapInArrow(run, left.select(*columns).schema)
-
-
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(item_ids).encode("utf-8")).hexdigest()
+            arrays[at_text] = pa.array(texts, pa.string())
+            if at_size is not None:
+                old = part.column(at_size)
+                fresh = [len(t) if len(p) else n for t, p, n in zip(texts, places, old.to_pylist())]
+                arrays[at_size] = pa.array(fresh).cast(old.type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(kept)
+
+    return used.mapInArrow(run, docs.select(*columns).schema)

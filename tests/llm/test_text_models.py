@@ -221,8 +221,8 @@ def test_spans_go_and_clean_rows_stay(spark):
         (3, "clean  text\n stays", "en", "s", 18),
         (4, None, None, None, None),
     ]
-    marked = decontam.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(9, item)], "item_id long, text string"))
-    got = {r["doc_id"]: r for r in decontam.remove_spans(marked).collect()}
+    items = spark.createDataFrame([(9, item), (10, " ".join(f"v{k}" for k in range(12)))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.remove_contamination(spark.createDataFrame(rows, DOCS), items, group_words=12).collect()}
     assert got[1]["text"] == "keep This, and then  this too, at length: one two three four five six seven"
     assert got[1]["n_chars"] == len(got[1]["text"])
     assert 2 not in got and tuple(got[3]) == rows[2] and tuple(got[4]) == rows[3]
