@@ -228,6 +228,40 @@ def matrix_drop_indices(spark, d):
     return ct.drop_indices(edges(spark, d), nodes(spark, d).filter("idx % 11 = 3").select("idx"))
 
 
+@query(
+    "matrix_renumbered",
+    """with x as (select idx from c_nodes where idx%11=3),
+    e as (select id1,id2,weight from c_edges where id1 not in (select idx from x) and id2 not in (select idx from x)),
+    n as (select idx, row_number() over (order by idx)-1 k from (select id1 idx from e union select id2 from e))
+    select a.k id1, b.k id2, weight from e join n a on a.idx=id1 join n b on b.idx=id2""",
+)
+def matrix_renumbered(spark, d):
+    kept = ct.drop_indices(edges(spark, d), nodes(spark, d).filter("idx % 11 = 3").select("idx"))
+    return longs(ct.renumbered(kept)[0], "id1", "id2")
+
+
+@query(
+    "lifted_pairs",
+    """select o_orderkey line, 'chr'||(o_custkey%22+1) chrom1, o_custkey*1800 start1, o_custkey*1800+1+(o_orderkey*311)%9000 end1,
+    'chr'||(o_orderkey%22+1) chrom2, o_orderkey*240 start2, o_orderkey*240+1+(o_orderkey*733)%9000 end2, o_custkey%10 weight
+    from orders where o_custkey%7<>0 and o_orderkey%5<>0""",
+)
+def lifted_pairs(spark, d):
+    """Halves that a lift-over lost are absent on their side."""
+    rows = table(spark, d, "orders")
+
+    def half(key: str, width: int, factor: int):
+        start = F.col(key) * width
+        return rows.select(
+            F.col("o_orderkey").alias("line"), F.concat(F.lit("chr"), (F.col(key) % 22 + 1).cast("string")).alias("chrom"),
+            start.alias("start"), (start + 1 + (F.col("o_orderkey") * factor) % 9000).alias("end"),
+            (F.col("o_custkey") % 10).alias("weight"), key,
+        )
+
+    first = half("o_custkey", 1800, 311).filter("o_custkey % 7 <> 0")
+    return ct.rejoined(first, half("o_orderkey", 240, 733).filter("o_orderkey % 5 <> 0"))
+
+
 @query(
     "matrix_window",
     """select distinct * from (
@@ -330,13 +364,13 @@ def network_reversed_pairs(spark, d):
 
 @query(
     "adjacency_lists",
-    "select id1 node, list(id2 order by id2) neighbours, count(*)::bigint n from c_graph group by id1",
+    "select id1 node, 0::bigint part, list(id2 order by id2) neighbours, count(*)::bigint n from c_graph group by id1",
 )
 def adjacency_lists(spark, d):
     from loopweave.sources.graphs import adjacency
 
     a = adjacency(graph(spark, d).drop("weight"))
-    return a.select("node", F.transform("neighbours", lambda x: x["dst"]).alias("neighbours"),
+    return a.select("node", "part", F.transform("neighbours", lambda x: x["dst"]).alias("neighbours"),
                     F.size("neighbours").cast("bigint").alias("n"))
 
 

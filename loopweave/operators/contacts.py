@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopweave.plans.scan import position_index
+from loopweave.plans.scan import dense_index
 from loopweave.plans.topk import top_k
 
 PAIR = ["chrom1", "pos1", "chrom2", "pos2"]
@@ -31,7 +32,8 @@ def drop_missing(df: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def indexed_contacts(df: DataFrame, bins: DataFrame, keep: Sequence[str] = ("weight",)) -> DataFrame:
-    """Replace both ends by bin indices; contacts with an invalid end are left out."""
+    """Replace both ends by bin indices; contacts with an invalid end or without a weight are left out."""
+    df = drop_missing(df) if "weight" in keep else df
     lookup = bins.select("chrom", "pos", "idx")
     first = lookup.toDF("chrom1", "pos1", "id1")
     second = lookup.toDF("chrom2", "pos2", "id2")
@@ -88,7 +90,7 @@ def pair_quotas(bins: DataFrame, base: int, intra: bool = False) -> DataFrame:
     )
     right = sizes.toDF("chrom2", "n2")
     share = (F.col("n1") / F.col("least")) * (F.col("n2") / F.col("least"))
-    return left.join(F.broadcast(right), "chrom2").select(
+    return left.join(right, "chrom2").select(
         "chrom1", "chrom2", F.floor(F.lit(base) * share).cast("bigint").alias("k")
     )
 
@@ -105,7 +107,7 @@ def quota_graph(
 
     Contacts are ranked before the valid-bin lookup, so an invalid bin uses up its place.
     """
-    quotas = F.broadcast(pair_quotas(bins, base, intra))
+    quotas = pair_quotas(bins, base, intra)
     ranked = df.join(quotas, ["chrom1", "chrom2"])
     best = strongest(ranked, "k") if by == "weight" else most_significant(ranked, "k")
     graph = indexed_contacts(best.withColumn("weight", F.lit(1)), bins)
@@ -213,6 +215,22 @@ def drop_indices(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return edges.join(cols, "id2", "left_anti").join(rows, "id1", "left_anti")
 
 
+def renumbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, ids): the cells with rows and columns numbered anew without gaps, and old -> new (idx, new)."""
+    seen = edges.select(F.explode(F.array("id1", "id2")).alias("idx")).distinct()
+    ids = dense_index(seen, ["idx"], "new")
+    first, second = ids.toDF("id1", "new1"), ids.toDF("id2", "new2")
+    cells = edges.join(first, "id1").join(second, "id2")
+    return cells.select(F.col("new1").alias("id1"), F.col("new2").alias("id2"), "weight"), ids
+
+
+def rejoined(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs whose two halves were both lifted: ``first`` and ``second`` (line, chrom, start, end), first with weight."""
+    left = first.select("line", *[F.col(c).alias(f"{c}1") for c in ("chrom", "start", "end")], "weight")
+    right = second.select("line", *[F.col(c).alias(f"{c}2") for c in ("chrom", "start", "end")])
+    return left.join(right, "line").select("line", "chrom1", "start1", "end1", "chrom2", "start2", "end2", "weight")
+
+
 def window_cells(
     df: DataFrame, start1: int, end1: int, start2: int, end2: int
 ) -> DataFrame:

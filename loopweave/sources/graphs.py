@@ -38,14 +38,14 @@ def undirected_unit_edges(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("e")).select("e.a", "e.b", F.lit(1).alias("weight"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """node, neighbours array<struct<dst, weight>> ordered by dst.
+def adjacency(edges: DataFrame, part_size: int = 1 << 16) -> DataFrame:
+    """node, part, neighbours array<struct<dst, weight>> ordered by dst.
 
-    One row per node is what the adjacency form means; algorithms here work on the edge table
-    instead, so only this export ever gathers the neighbours of a node.
+    A node of ``part_size`` neighbours or fewer is one row, part 0; a hub is cut by a hash of the
+    neighbour into parts of about that size, so that no row and no task gathers a whole hub.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    item = F.struct(F.col("id2").alias("dst"), weight.cast("float").alias("weight"))
-    return edges.groupBy(F.col("id1").alias("node")).agg(
-        F.array_sort(F.collect_list(item)).alias("neighbours")
-    )
+    rows = edges.select(F.col("id1").alias("node"), F.struct(F.col("id2").alias("dst"), weight.cast("float").alias("weight")).alias("item"))
+    parts = rows.groupBy("node").agg(F.ceil(F.count("*") / part_size).alias("parts"))
+    cut = rows.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("item.dst"), F.col("parts")))
+    return cut.groupBy("node", "part").agg(F.array_sort(F.collect_list("item")).alias("neighbours"))
