@@ -14,7 +14,7 @@ HEADLINE = [
     "contact_index", "strongest_contacts", "quota_graph", "fragment_marginals", "region_labels",
     "region_agreement", "variance_explained", "paired_region_table", "overlap_counts", "morans_i",
     "bootstrap_expression_ve", "balance_fixed_point", "measure_propagation", "loopy_beliefs",
-    "multilabel_f1",
+    "multilabel_f1", "balance_newton", "bootstrap_stats", "markov_path", "graph_embedding", "logistic_classes",
 ]
 
 

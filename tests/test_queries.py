@@ -17,7 +17,8 @@ DATA = "/root/testdata/sf0.001"
 SAMPLE = [
     "track_binning", "feature_matrix", "annotation_by_valid_bin", "permutation_map", "point_windows",
     "quota_graph", "matrix_window", "region_agreement", "timing_scores", "overlap_enrichment",
-    "bootstrap_over_expected", "bias_vector", "multilabel_f1", "file_contacts",
+    "bootstrap_over_expected", "bias_vector", "multilabel_f1", "file_contacts", "markov_path",
+    "linear_probabilities", "mixture_evidence", "matrix_renumbered", "lifted_pairs", "file_model",
 ]
 CHECKED = sorted(oracle_sql()) if os.environ.get("LOOPWEAVE_QUERIES") == "all" else SAMPLE
 
