@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.functions.gaussian import log_densities
-from loopweave.session import materialize
+from loopweave.session import bound_batches, materialize
 
 BLOCK = 4096
 
@@ -50,6 +50,7 @@ def pack_chains(df: DataFrame, block: int = BLOCK) -> DataFrame:
     ``df(chain, n, t, idx, features)``; t counts from 0 to n - 1. A block holds at most
     ``block`` bins.
     """
+    bound_batches(df.sparkSession)
     rows = df.withColumn("b", F.floor(F.col("t") / block).cast("bigint"))
     items = F.array_sort(F.collect_list(F.struct("t", "idx", "features")))
     return materialize(

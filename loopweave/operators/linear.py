@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from loopweave.plans.scan import dense_index
-from loopweave.session import materialize
+from loopweave.session import bound_batches, materialize
 
 # Solver names of the model file, by number -> (name, loss, penalty).
 SOLVERS = {
@@ -268,6 +268,7 @@ def train(
     wrong = params.problem()
     if wrong:
         raise ValueError(wrong)
+    bound_batches(df.sparkSession)
     name, kind, penalty = SOLVERS[params.solver]
     keep = ["label", "index", "value"]
     data = materialize(df.select(F.col("label").cast("double").alias("label"), "index", "value"))

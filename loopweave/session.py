@@ -26,6 +26,14 @@ def build_session(app: str = "loopweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
+    """Count the Arrow batches of this session in bytes as well: rows may be blocks of thousands of values."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most_bytes:
+        spark.conf.set(setting, str(most_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
