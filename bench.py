@@ -7,7 +7,7 @@ import os
 import time
 
 from loopweave.catalog import QUERIES
-from loopweave.session import build_session
+from loopweave.session import build_session, clear_scratch
 
 HEADLINE = [
     "track_binning", "feature_matrix", "annotation_segments", "chunk_lengths", "closest_valid_bins",
@@ -38,6 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    clear_scratch(spark)
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(

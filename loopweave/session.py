@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch paths given to this process's queries.
+_handed_out: list[str] = []
+
 
 def build_session(app: str = "loopweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; extra settings override the defaults."""
@@ -54,8 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clear_scratch`` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote below its scratch paths, once no result reads it any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _handed_out:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from loopweave.session import build_session
+from loopweave.session import build_session, clear_scratch
 
 
 @pytest.fixture(scope="session")
@@ -17,4 +17,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()

@@ -85,3 +85,16 @@ def test_command_line_of_the_toolkit(spark, tmp_path, monkeypatch):
     cli.main(["predict", "-i", f"{tmp_path}/data", "-m", f"{tmp_path}/model", "-o", f"{tmp_path}/out"])
     got = readers.tsv(spark, f"{tmp_path}/out", "label double, prediction double")
     assert got.filter(F.col("label") != F.col("prediction")).count() == 0 and got.count() == 4
+
+
+def test_scratch_is_cleared(spark):
+    from loopweave import session
+
+    before = list(session._handed_out)
+    session._handed_out.clear()
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    session._handed_out.extend(before)
