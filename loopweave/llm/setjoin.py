@@ -15,10 +15,11 @@ the Jaccard similarity of their sets reaches a ratio; a class is a connected com
    bare shingles: linear in the members, and it settles most near copies.
 4. Classes whose prefix shingles are posted by more than one component are looked at again among
    themselves, with all their shingles counted: once more by 3, then by a grouped prefix join.
-   Groups that meet in a prefix shingle and hold different components are paired where sizes and
-   shingle positions allow a link; pairs are expanded to their members and verified. Pairs inside
-   one component cannot change the result and are not formed, so a large group of near copies
-   costs no square.
+   Groups that meet in a prefix shingle and hold different components are paired where sizes,
+   shingle positions and the numbers of their shared shingles in 64 slices of the hash range allow
+   a link (the overlap is at most the sum of the smaller numbers); pairs are expanded to their
+   members and verified. Pairs inside one component cannot change the result and are not formed,
+   so a large group of near copies costs no square.
 
 Verification intersects the whole sets. Hash equality stands for shingle equality (two different
 shingles meet with probability 2**-64 a pair).
@@ -174,6 +175,14 @@ def _posted(sets: list[np.ndarray], ratio: Ratio, marks: Marks, turns: np.ndarra
 
 
 NAMES = ["n", "bare", "minima", "posted", "places"]
+SLICE_SHIFT = np.uint64(58)
+SLICES = 64
+
+
+def _slice_counts(own: np.ndarray, marks: Marks) -> np.ndarray:
+    """Shingles per slice of the hash range, without those that are known to be bare."""
+    shared = own[marks.bloom.holds(own)] if marks.exact else own
+    return np.bincount((shared >> SLICE_SHIFT).astype(np.int64), minlength=SLICES).astype(np.int32)
 
 
 def sketches(docs: DataFrame, k: int, ratio: Ratio, marks: Marks) -> DataFrame:
@@ -194,7 +203,7 @@ def sketches(docs: DataFrame, k: int, ratio: Ratio, marks: Marks) -> DataFrame:
 
 
 def resketched(sets: DataFrame, ratio: Ratio) -> DataFrame:
-    """key, comp and ``POSTED`` anew for ``sets(key, comp, items)``, with all shingles counted among these sets."""
+    """key, comp, ``POSTED`` anew and counts for ``sets(key, comp, items)``, with all shingles counted among these sets."""
     counts = sets.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     shared = sets.sparkSession.sparkContext.broadcast(marks_of(counts, np.uint64(0)))
 
@@ -203,11 +212,12 @@ def resketched(sets: DataFrame, ratio: Ratio) -> DataFrame:
         for part in slices(batches, "key", 1 << 14):
             items = part.column(2)
             own = [np.sort(items[i].values.to_numpy().view(np.uint64)) for i in range(part.num_rows)]
+            counts = pa.array([_slice_counts(o, shared.value) for o in own], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *_posted(own, ratio, shared.value, turns)], names=["key", "comp", *NAMES]
+                [part.column(0), part.column(1), *_posted(own, ratio, shared.value, turns), counts], names=["key", "comp", *NAMES, "counts"]
             )
 
-    return sets.select("key", "comp", "items").mapInArrow(run, f"key binary, comp long, {POSTED}")
+    return sets.select("key", "comp", "items").mapInArrow(run, f"key binary, comp long, {POSTED}, counts array<int>")
 
 
 def whole_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -270,14 +280,14 @@ def star_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
     )
 
 
-def _open_postings(units: DataFrame, name: str) -> DataFrame:
-    """g, comp, n, at, h of posted shingles that more than one component posts.
+def _open_postings(units: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """g, comp, n, at, h and the extra columns of posted shingles that more than one component posts.
 
     ``units(g, comp, n, posted, places)``. A Bloom filter of the open shingles, bounded in size,
     keeps the others from being shuffled a second time.
     """
-    postings = units.select("g", "comp", "n", F.explode(F.arrays_zip("posted", "places")).alias("p"))
-    postings = postings.select("g", "comp", "n", F.col("p.places").alias("at"), F.col("p.posted").alias("h"))
+    postings = units.select("g", "comp", "n", *extra, F.explode(F.arrays_zip("posted", "places")).alias("p"))
+    postings = postings.select("g", "comp", "n", F.col("p.places").alias("at"), F.col("p.posted").alias("h"), *extra)
     open_shingles = stored(
         postings.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h"), f"{name}-open"
     )
@@ -298,11 +308,12 @@ def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
 
     ``classes(key, comp, ...)`` with the columns of ``POSTED``; comp is a 64-bit hash of the component so far.
     """
-    grouped = classes.withColumn("g", F.xxhash64("posted", "n", "bare"))
-    units = grouped.groupBy("g", "comp").agg(*[F.first(c).alias(c) for c in ("n", "posted", "places")])
-    left = _open_postings(units, "group-postings")
-    right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("g", "comp", "n", "at")])
-    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    grouped = classes.withColumn("g", F.xxhash64("posted", "n", "bare", "counts"))
+    units = grouped.groupBy("g", "comp").agg(*[F.first(c).alias(c) for c in ("n", "posted", "places", "counts")])
+    left = _open_postings(units, "group-postings", ("counts",))
+    right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("g", "comp", "n", "at", "counts")])
+    sliced = F.aggregate(F.zip_with("counts", "counts2", F.least), F.lit(0), lambda s, c: s + c)
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), sliced)
     met = (
         left.join(right, "h")
         .filter(F.col("comp") < F.col("comp2"))
@@ -335,15 +346,16 @@ def _classified(docs: DataFrame, k: int, ratio: Ratio) -> DataFrame:
     links = stored(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), ratio), "star-links")
 
     def labelled(found: DataFrame, frame: DataFrame) -> DataFrame:
-        return frame.join(components(found), "key", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "key")))
+        return frame.join(found, "key", "left").withColumn("comp", F.xxhash64(F.coalesce("comp", "key")))
 
-    units = labelled(links, classes.select("key", "n", "posted", "places")).withColumn("g", F.xxhash64("key"))
+    so_far = components(links)
+    units = labelled(so_far, classes.select("key", "n", "posted", "places")).withColumn("g", F.xxhash64("key"))
     met = _open_postings(units, "class-postings").select("g").distinct()
     near = classes.select("key").withColumn("g", F.xxhash64("key")).join(met, "g", "left_semi").select("key")
     sets = sets_of(near)
-    again = stored(resketched(labelled(links, sets), ratio), "sketched-again")
+    again = stored(resketched(labelled(so_far, sets), ratio), "sketched-again")
     links = stored(links.union(verified(star_pairs(again, ratio), sets, ratio)), "more-links")
-    again = labelled(links, again.drop("comp"))
+    again = labelled(components(links), again.drop("comp"))
     links = stored(links.union(verified(stored(group_pairs(again, ratio), "group-pairs"), sets, ratio)), "all-links")
     joined = components(links)
     named = classes.select("key", "doc_id", "copies").join(joined, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
