@@ -312,7 +312,7 @@ def group_pairs(classes: DataFrame, ratio: Ratio) -> DataFrame:
     units = grouped.groupBy("g", "comp").agg(*[F.first(c).alias(c) for c in ("n", "posted", "places", "counts")])
     left = _open_postings(units, "group-postings", ("counts",))
     right = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("g", "comp", "n", "at", "counts")])
-    sliced = F.aggregate(F.zip_with("counts", "counts2", F.least), F.lit(0), lambda s, c: s + c)
+    sliced = F.aggregate(F.zip_with("counts", "counts2", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), sliced)
     met = (
         left.join(right, "h")
