@@ -24,11 +24,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm.common import slices, stored
+from loopweave.llm.common import Bloom, slices, stored
 from loopweave.session import scratch_path
 
 END = "\r\n"
@@ -52,21 +53,41 @@ def url_key(url: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """value: the text of one record per row of ``pages(page_id, url, html)``."""
+    """value: the text of one record per row of ``pages(page_id, url, html)``.
+
+    Payloads that occur once are met by a Bloom filter of the repeated digests, bounded in size, and
+    become records where they lie; only pages that may be repeated are joined with the first of their kind.
+    """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digested = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     first = digested.select("page_id", "sha1").groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    again = first.filter("copies > 1").select("sha1", "first")
-    marked = digested.join(again, "sha1", "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
-    marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"))
+    again = stored(first.filter("copies > 1").select("sha1", "first"), "warc-repeated")
+    heads = again.select(F.conv(F.substring("sha1", 1, 14), 16, 10).cast("long").alias("h"))
+    marks = pages.sparkSession.sparkContext.broadcast(Bloom.gather(heads, "h", Bloom.size_for(again.count())))
+
+    def split(repeated: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "html"):
+                heads = np.array([int(x[:14], 16) for x in part.column(3).to_pylist()], dtype=np.uint64)
+                mine = part.filter(pa.array(marks.value.holds(heads) == repeated))
+                if repeated:
+                    yield mine
+                else:
+                    rows = zip(*(mine.column(k).to_pylist() for k in range(3)))
+                    yield pa.RecordBatch.from_arrays([pa.array([record(*row, None) for row in rows], pa.string())], names=["value"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
             out = [record(*row) for row in zip(*(c.to_pylist() for c in part.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    return marked.mapInArrow(run, "value string")
+    single = digested.mapInArrow(split(False), "value string")
+    marked = digested.mapInArrow(split(True), digested.schema).join(again, "sha1", "left")
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
+    marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"))
+    return single.union(marked.mapInArrow(run, "value string"))
 
 
 def record(page: int | None, url: str | None, html: str, first: int | None) -> str:
@@ -91,10 +112,11 @@ def record(page: int | None, url: str | None, html: str, first: int | None) -> s
 
 
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
-    """Archive files of about ``file_bytes`` (one longer record at least) below ``folder``."""
-    size = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + HEADER_BYTES)).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
-    records(pages).repartition(files).write.option("lineSep", RECORD_END).text(folder)
+    """Archive files of about ``file_bytes``, by the mean size of a record, below ``folder``."""
+    size = F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + HEADER_BYTES)
+    mean = pages.agg(size).first()[0] or HEADER_BYTES
+    writer = records(pages).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max(1, int(file_bytes / mean)))
+    writer.text(folder)
 
 
 @dataclass
@@ -216,28 +238,28 @@ class CaptureIndex:
         return sorted(found)
 
     def captures(self) -> DataFrame:
-        """One row per indexed record, read from its byte range."""
-        ranges = self.entries().groupBy("path").agg(F.collect_list(F.struct("at", "length")).alias("ranges"))
-        files = archive_files(self.blocks.sparkSession, self.folder).join(ranges, "path").select("content", "ranges")
+        """One row per indexed record. Files are read where they lie, and no payload is shuffled: a
+        record counts when the index has its byte range."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in one_by_one(batches):
-                data, out = row.column(0)[0].as_py(), []
-                for span in row.column(1)[0].as_py():
-                    found = parse(data[span["at"] : span["at"] + span["length"]])
+                path, data, out, at = row.column(0)[0].as_py(), row.column(1)[0].as_py(), [], 0
+                while at < len(data):
+                    found = parse(data, at)
                     kind = found.fields["WARC-Type"]
                     if kind == "response":
                         size, digest = len(found.payload), sha1_base32(found.payload)
                     else:
                         size, digest = int(found.answer["Content-Length"]), found.fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    out.append((_page(found.fields["WARC-Record-ID"]), size, digest, kind, _page(found.fields.get("WARC-Refers-To"))))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)],
-                    names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-                )
+                    out.append((path, at, found.length, _page(found.fields["WARC-Record-ID"]), size, digest, kind, _page(found.fields.get("WARC-Refers-To"))))
+                    at += found.length + len(RECORD_END)
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                names = ["path", "at", "length", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
 
-        return files.mapInArrow(run, CAPTURE)
+        read = archive_files(self.blocks.sparkSession, self.folder).mapInArrow(run, f"path string, at long, length long, {CAPTURE}")
+        ranges = self.entries().select("path", "at", "length")
+        return read.join(ranges, ["path", "at", "length"]).drop("path", "at", "length")
 
 
 def archive(pages: DataFrame) -> CaptureIndex:
