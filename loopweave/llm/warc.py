@@ -7,8 +7,13 @@ Spark writes can hold them; files are bounded in size and read back as bytes.
 
 The index has a line per record: the URL key with its host labels reversed, page, file, offset and
 length. Lines are sorted by key across range partitions and cut into compressed blocks; a sparse
-directory keeps every block's first key. A look-up bisects the directory, opens the one or two
-blocks that can hold the key, bisects their lines and reads the records' byte ranges.
+directory keeps every block's first and last key. A look-up bisects the directory, opens the blocks
+that can hold the key, bisects their lines and reads the records' byte ranges. ``captures`` reads
+every indexed record the same way: the lines of the blocks are dealt by file and offset, and each
+task opens the files its lines name and reads their byte ranges, nothing else.
+
+Workers open files through Arrow's file systems (``file``, and those that Arrow can reach). Where a
+worker cannot open the first indexed file that way, whole files come through Spark's reader instead.
 
 Defined cases: a null html is an empty payload; a null url has an empty key and no target line; line
 ends in URLs are percent-coded. A null page_id is written empty and counts as larger than any other.
@@ -20,12 +25,15 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +45,8 @@ RECORD_END = END * 2
 FILE_BYTES = 8 << 20
 HEADER_BYTES = 500
 BLOCK_LINES = 1000
+#: A directory of up to so many blocks (a line per block, of 1,000 records each) is held by the driver; a larger one stays a table.
+DIRECTORY_BLOCKS = 100_000
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -159,12 +169,81 @@ def one_by_one(batches):
             yield batch.slice(at, 1)
 
 
+def open_range_file(path: str) -> pa.NativeFile:
+    """A file opened for reads at any offset, from its path as Spark writes it (``file:/a``, ``hdfs://host/a``)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest if colon else path).lstrip("/"))
+    authority, _, inside = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system.open_input_file(base.rstrip("/") + "/" + inside)
+
+
+def capture_of(found: Parsed) -> tuple[int | None, int, str, str, int | None]:
+    """The cells of CAPTURE."""
+    kind = found.fields["WARC-Type"]
+    if kind == "response":
+        size, digest = len(found.payload), sha1_base32(found.payload)
+    else:
+        size, digest = int(found.answer["Content-Length"]), found.fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    return _page(found.fields["WARC-Record-ID"]), size, digest, kind, _page(found.fields.get("WARC-Refers-To"))
+
+
+def capture_columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return [pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)]
+
+
+CAPTURE_NAMES = [c.split(" ")[0] for c in CAPTURE.split(", ")]
+
+
+def read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CAPTURE of every (path, at, length): one open file at a time, one record in memory at a time."""
+    name, file = None, None
+    try:
+        for batch in batches:
+            done: list[tuple] = []
+            for path, at, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != name:
+                    if file is not None:
+                        file.close()
+                    name, file = path, open_range_file(path)
+                file.seek(at)
+                done.append(capture_of(parse(file.read(length))))
+            yield pa.RecordBatch.from_arrays(capture_columns(done), names=CAPTURE_NAMES)
+    finally:
+        if file is not None:
+            file.close()
+
+
+def opens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether this worker can open the files named."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                open_range_file(path).close()
+                good = True
+            except (OSError, ValueError, NotImplementedError):
+                good = False
+            yield pa.RecordBatch.from_arrays([pa.array([good])], names=["good"])
+
+
+def without_breaks(key: str) -> str:
+    return re.sub(r"[\t\n]", " ", key)
+
+
+def _key_of(line: str) -> str:
+    return line.partition("\t")[0]
+
+
 @dataclass
 class CaptureIndex:
-    """blocks(block, first, last, n, data): compressed sorted lines; directory: their first keys."""
+    """blocks(block, first, last, n, data): compressed sorted lines; directory: their first and last keys."""
 
     blocks: DataFrame
     folder: str
+    most_blocks: int = DIRECTORY_BLOCKS
+    _directory: tuple[list[str], list[str], list[int]] | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, spark: SparkSession, folder: str, block_lines: int = BLOCK_LINES) -> "CaptureIndex":
@@ -186,12 +265,15 @@ class CaptureIndex:
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_lines: list[tuple[str, str, int, int]] = []
+            number = TaskContext.get().partitionId() << 33
 
             def block() -> pa.RecordBatch:
+                nonlocal number
+                number += 1
                 text = "\n".join("\t".join((k, p, str(a), str(n))) for k, p, a, n in open_lines)
-                cells = [open_lines[0][0], open_lines[-1][0], len(open_lines), zlib.compress(text.encode("utf-8", "surrogatepass"))]
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], names=["first", "last", "n", "data"])
+                cells = [number, open_lines[0][0], open_lines[-1][0], len(open_lines), zlib.compress(text.encode("utf-8", "surrogatepass"))]
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds)], names=["block", "first", "last", "n", "data"])
 
             for batch in batches:
                 for line in zip(*(c.to_pylist() for c in batch.columns)):
@@ -204,11 +286,21 @@ class CaptureIndex:
 
         safe = lines.withColumn("key", F.regexp_replace("key", r"[\t\n]", " "))
         ordered = safe.repartitionByRange("key", "path", "at").sortWithinPartitions("key", "path", "at")
-        return cls(stored(ordered.mapInArrow(pack, "first string, last string, n long, data binary"), "warc-index"), folder)
+        return cls(stored(ordered.mapInArrow(pack, "block long, first string, last string, n long, data binary"), "warc-index"), folder)
 
     def directory(self) -> DataFrame:
-        """first, last: the sparse block directory in key order."""
-        return self.blocks.select("first", "last").orderBy("first")
+        """block, first, last: the sparse block directory in key order."""
+        return self.blocks.select("block", "first", "last").orderBy("first", "last", "block")
+
+    def blocks_of(self, key: str) -> list[int] | None:
+        """The blocks that can hold ``key``, by bisection of the directory; None when it has too many lines to be held."""
+        if self._directory is None:
+            lines = self.directory().limit(self.most_blocks + 1).toArrow()
+            if lines.num_rows > self.most_blocks:
+                return None
+            self._directory = tuple(lines[c].to_pylist() for c in ("first", "last", "block"))
+        firsts, lasts, numbers = self._directory
+        return numbers[bisect.bisect_left(lasts, key) : bisect.bisect_right(firsts, key)]
 
     def entries(self) -> DataFrame:
         """key, path, at, length of every line."""
@@ -225,37 +317,55 @@ class CaptureIndex:
         return self.blocks.select("data").mapInArrow(run, "key string, path string, at long, length long")
 
     def lookup(self, key: str) -> list[tuple[str, int, int]]:
-        """(path, at, length) of the captures of one key: blocks that can hold it are opened, their lines bisected."""
-        near = self.blocks.filter((F.col("first") <= key) & (F.col("last") >= key)).select("data")
+        """(path, at, length) of the captures of one key: only blocks that can hold it are opened, their lines bisected."""
+        key = without_breaks(key)
+        numbers = self.blocks_of(key)
+        if numbers is not None and not numbers:
+            return []
+        near = (F.col("first") <= key) & (F.col("last") >= key) if numbers is None else F.col("block").isin(numbers)
         found = []
-        for row in near.toLocalIterator():
+        for row in self.blocks.filter(near).select("data").toLocalIterator():
             lines = zlib.decompress(row["data"]).decode("utf-8", "surrogatepass").split("\n")
-            at = bisect.bisect_left(lines, key + "\t")
-            while at < len(lines) and lines[at].startswith(key + "\t"):
+            for at in range(bisect.bisect_left(lines, key, key=_key_of), bisect.bisect_right(lines, key, key=_key_of)):
                 _, path, start, size = lines[at].split("\t")
                 found.append((path, int(start), int(size)))
-                at += 1
         return sorted(found)
 
+    def fetch(self, key: str) -> list[Parsed]:
+        """The records of one key, read by their byte ranges through Hadoop's file system."""
+        spark = self.blocks.sparkSession
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        out = []
+        for path, at, length in self.lookup(key):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            stream = where.getFileSystem(conf).open(where)
+            try:
+                stream.seek(at)
+                out.append(parse(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))))
+            finally:
+                stream.close()
+        return out
+
     def captures(self) -> DataFrame:
-        """One row per indexed record. Files are read where they lie, and no payload is shuffled: a
-        record counts when the index has its byte range."""
+        """One row per indexed record, read by its byte range. Lines, not payloads, are dealt by file and offset."""
+        ranges = self.entries().select("path", "at", "length")
+        if not all(r["good"] for r in ranges.select("path").limit(1).mapInArrow(opens, "good boolean").collect()):
+            return self.captures_of_whole_files()
+        dealt = ranges.repartitionByRange("path", "at").sortWithinPartitions("path", "at")
+        return dealt.mapInArrow(read_ranges, CAPTURE)
+
+    def captures_of_whole_files(self) -> DataFrame:
+        """The same rows where workers cannot read ranges: files come whole from Spark's reader, the index picks the records."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in one_by_one(batches):
-                path, data, out, at = row.column(0)[0].as_py(), row.column(1)[0].as_py(), [], 0
+                path, data, found, at = row.column(0)[0].as_py(), row.column(1)[0].as_py(), [], 0
                 while at < len(data):
-                    found = parse(data, at)
-                    kind = found.fields["WARC-Type"]
-                    if kind == "response":
-                        size, digest = len(found.payload), sha1_base32(found.payload)
-                    else:
-                        size, digest = int(found.answer["Content-Length"]), found.fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    out.append((path, at, found.length, _page(found.fields["WARC-Record-ID"]), size, digest, kind, _page(found.fields.get("WARC-Refers-To"))))
-                    at += found.length + len(RECORD_END)
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                names = ["path", "at", "length", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=names)
+                    record_at = parse(data, at)
+                    found.append((path, at, record_at.length, *capture_of(record_at)))
+                    at += record_at.length + len(RECORD_END)
+                place = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*place, *capture_columns([x[3:] for x in found])], names=["path", "at", "length", *CAPTURE_NAMES])
 
         read = archive_files(self.blocks.sparkSession, self.folder).mapInArrow(run, f"path string, at long, length long, {CAPTURE}")
         ranges = self.entries().select("path", "at", "length")

@@ -53,6 +53,46 @@ def test_index_of_several_blocks(spark):
     assert empty.captures().count() == 0
 
 
+def test_records_are_read_by_their_ranges(spark):
+    """Bytes that the index does not name are never read: here they are overwritten."""
+    frame = spark.createDataFrame([(k, f"http://h.example.com/p{k:03}", f"page {k} é") for k in range(60)], PAGES)
+    index = warc.CaptureIndex.build(spark, warc.archive(frame.coalesce(1)).folder, block_lines=1)
+    keys = ["com,example,h)/p007", "com,example,h)/p008", "com,example,h)/p041"]
+    some = warc.CaptureIndex(index.blocks.filter(F.col("first").isin(keys)), index.folder)
+    wanted = [r for k in keys for r in some.lookup(k)]
+    assert len(wanted) == 3
+    for path in {r[0] for r in wanted}:
+        with open(path.removeprefix("file:"), "r+b") as f:
+            old = f.read()
+            new = bytearray(b"#" * len(old))
+            for p, at, n in wanted:
+                if p == path:
+                    new[at : at + n] = old[at : at + n]
+            f.seek(0)
+            f.write(new)
+    got = sorted((r["page_id"], r["payload_digest"]) for r in some.captures().collect())
+    assert got == [(k, warc.sha1_base32(f"page {k} é".encode())) for k in (7, 8, 41)]
+
+
+def test_lookup_bisects_the_directory(spark):
+    urls_ = [f"http://h{k % 7}.example.com/p{k:03}" for k in range(200)] + ["http://x.org/a", "http://x.org/a\x01b"] + ["http://z.org/many"] * 30
+    frame = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls_)], PAGES)
+    index = warc.CaptureIndex.build(spark, warc.archive(frame).folder, block_lines=9)
+    lines = {r["block"]: (r["first"], r["last"]) for r in index.directory().collect()}
+    assert len(lines) == index.blocks.count() >= 200 // 9
+    for key in ("com,example,h3)/p010", "org,x)/a", "org,x)/a\x01b", "org,z)/many", "", "zzz"):
+        opened = index.blocks_of(key)
+        assert sorted(opened) == sorted(b for b, (first, last) in lines.items() if first <= key <= last)
+    assert len(index.blocks_of("com,example,h3)/p010")) == 1
+    assert [r.payload for r in index.fetch("com,example,h3)/p010")] == [b"page 10"]
+    assert [r.payload for r in index.fetch("org,x)/a")] == [b"page 200"] and [r.payload for r in index.fetch("org,x)/a\x01b")] == [b"page 201"]
+    assert len(index.fetch("org,z)/many")) == 30 and index.fetch("zzz") == []
+    as_table = warc.CaptureIndex(index.blocks, index.folder, most_blocks=3)
+    assert as_table.blocks_of("zzz") is None and as_table.lookup("org,z)/many") == index.lookup("org,z)/many")
+    both = [sorted(map(str, f.collect())) for f in (index.captures(), index.captures_of_whole_files())]
+    assert both[0] == both[1] and len(both[0]) == len(urls_)
+
+
 def plain_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans(urls.CAPITALS, urls.CAPITALS.lower())), m[2]) if m else ("", "")
