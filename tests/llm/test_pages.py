@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -132,6 +134,42 @@ def test_url_models_part_what_they_learned(spark):
     assert abs(tiny.scores(["a"])[0] - math.log(accepted / rejected)) < 1e-6
 
 
+def plain_score(text, counts, order):
+    """The recursion character by character, from counts in two dictionaries of context and context with character."""
+    raw, total = text.encode(), 0.0
+    for sign, seen in zip((-1, 1), counts):
+        for at in range(len(raw)):
+            p = 1 / 256
+            for n in range(order + 1):
+                context = (b"\0" * order + raw)[at + order - n : at + order]
+                p = (seen[n, context, raw[at]] + 2 * p) / (seen[n, context] + 2)
+            total += sign * math.log(p)
+    return total / max(len(raw), 1)
+
+
+def test_url_counts_grow_with_the_urls(spark):
+    """More grams a class than half a million: every count is the gram's own, a gram never seen counts nothing."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-_/.", k=150)), bool(k % 2)) for k in range(1600)]
+    order, counts = urls.ORDER, (Counter(), Counter())
+    for text, accepted in rows:
+        padded, seen = b"\0" * order + text.encode(), counts[accepted]
+        for at in range(order, len(padded)):
+            for n in range(order + 1):
+                seen[n, padded[at - n : at]] += 1
+                seen[n, padded[at - n : at], padded[at]] += 1
+    assert min(len(c) for c in counts) > 1 << 18 and sum(map(len, counts)) > 1 << 19
+    models = urls.learn(spark.createDataFrame(rows, "text string, accepted boolean"))
+    grams = models.counts.agg(F.count_if(F.col("rejected") > 0), F.count_if(F.col("accepted") > 0)).first()
+    assert tuple(grams) == tuple(map(len, counts))
+    texts = [rows[0][0], rows[1][0], rows[2][0][:70] + rows[5][0][70:], "ABC", "http://a.b/c", "", None]
+    want = [plain_score(t or "", counts, order) for t in texts]
+    assert max(abs(a - b) for a, b in zip(models.scores(texts), want)) < 1e-9
+    frame = spark.createDataFrame([(k % 7, texts[k % 7]) for k in range(700)], "k int, text string")
+    got = urls.scored(frame, models).collect()
+    assert len(got) == 700 and max(abs(r["lm_score"] - want[r["k"]]) for r in got) < 1e-9
+
+
 def test_article_text():
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p><article>x';</script></head><body class=\"ad-free page\">"
