@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from loopweave.llm import html, urls, warc
@@ -182,6 +183,36 @@ def test_article_text():
     assert html.blocks_of(None) == [] and html.blocks_of("<p") == [] and html.blocks_of("a < b")[0].text == "a < b"
 
 
+ARTICLE = "<article><h1>Title</h1><p>Body of the story<div class='ad'>buy</div><aside>side</aside></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<body><p>top line</p><div class='{c}'>{ARTICLE}</div>{'<p>a long foot line of the page without a mark</p>' * 3}</body>" for c in ("layout-sidebar", "has-sidebar", "no-comments", "page modal-open")),
+        f"<div class='search-results'>{ARTICLE}</div>",
+        f"<form action='/'><div>menu</div>{ARTICLE}<div>foot</div></form>",
+        f"<nav><a href='/'>home</a>{ARTICLE}<p>more words than the article has, as no one closed what was open before it",
+        f"<div class='ad'>buy {ARTICLE}<footer>f</footer>",
+        f"<div><div class='ad'>buy {ARTICLE}</div></div>",
+        f"<div class='has-sidebar'><nav>m</nav><div class='sidebar'><article>teaser</article></div>{ARTICLE}</div>",
+        f"<main><div class='has-sidebar'>{ARTICLE}</div></main>",
+        f"<head><title>t</title><body>{ARTICLE}</body>",
+        f"<div class='no-comments'>{ARTICLE}<ol class='comment-list'><li><article>A comment that is quite a bit longer than all of the story</article></ol></div>",
+        f"{ARTICLE}<aside><article>teaser</article></aside><div class='related-posts'><article>two</article></div>",
+    ],
+)
+def test_marked_wrappers_keep_the_article(page):
+    assert " ".join(b.text for b in html.blocks_of(page) if b.place == html.MAIN) == "Title Body of the story"
+
+
+def test_teasers_and_comments_are_no_article():
+    story = "<div>A story in a plain element, longer than what stands beside it</div>"
+    for beside in ("<aside><article>teaser</article></aside>", "<div class='related-posts'><article>t</article><article>u</article></div>", "<ul class='comments'>" + "<article>A comment</article>" * 20 + "</ul>", "<template><article>" + "hidden " * 20 + "</article></template>"):
+        blocks = html.blocks_of(story + beside)
+        assert not [b for b in blocks if b.place == html.MAIN] and [b.text for b in blocks if b.place == html.OPEN] == [story[5:-6]]
+
+
 def test_host_runs_go_where_no_article_is(spark):
     top, foot = "home about contact us today now or never", "all rights reserved by the owner of this very site"
     bodies = ["first story about a river and its boats", "second tale of hills and long dry summers here"]
