@@ -315,12 +315,13 @@ select chrom, pos, row_number() over (order by chrom,pos)-1 idx, price from (
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Valid bins of the contact map: chrom (number), pos, idx, price."""
     key = F.col("p_partkey")
-    rows = table(spark, d, "part").filter(key % 13 != 5).select(
+    rows = table(spark, d, "part").select(
         (key % 22 + 1).cast("bigint").alias("chrom"),
         F.expr("p_partkey div 22").alias("pos"),
         F.col("p_retailprice").alias("price"),
+        (key % 13 != 5).alias("valid"),
     )
-    return contacts.index_bins(rows, rank="chrom")
+    return contacts.index_bins(rows, rank="chrom", valid="valid")
 
 
 cte(

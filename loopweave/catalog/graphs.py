@@ -216,7 +216,7 @@ def matrix_short_range(spark, d):
     select id1,id2,weight from e where id1 in (select i from a) and id2 in (select i from a)""",
 )
 def matrix_drop_empty(spark, d):
-    return ct.drop_empty(edges(spark, d).filter("id2 % 5 <> 0"))
+    return ct.drop_empty(edges(spark, d).withColumn("weight", F.expr("if(id2 % 5 = 0, null, weight)")))
 
 
 @query(
@@ -247,19 +247,19 @@ def matrix_renumbered(spark, d):
     from orders where o_custkey%7<>0 and o_orderkey%5<>0""",
 )
 def lifted_pairs(spark, d):
-    """Halves that a lift-over lost are absent on their side."""
+    """Halves that a lift-over lost are there without a place."""
     rows = table(spark, d, "orders")
 
-    def half(key: str, width: int, factor: int):
+    def half(key: str, width: int, factor: int, lost: int):
         start = F.col(key) * width
         return rows.select(
-            F.col("o_orderkey").alias("line"), F.concat(F.lit("chr"), (F.col(key) % 22 + 1).cast("string")).alias("chrom"),
+            F.col("o_orderkey").alias("line"),
+            F.when(F.col(key) % lost != 0, F.concat(F.lit("chr"), (F.col(key) % 22 + 1).cast("string"))).alias("chrom"),
             start.alias("start"), (start + 1 + (F.col("o_orderkey") * factor) % 9000).alias("end"),
-            (F.col("o_custkey") % 10).alias("weight"), key,
+            (F.col("o_custkey") % 10).alias("weight"),
         )
 
-    first = half("o_custkey", 1800, 311).filter("o_custkey % 7 <> 0")
-    return ct.rejoined(first, half("o_orderkey", 240, 733).filter("o_orderkey % 5 <> 0"))
+    return ct.rejoined(half("o_custkey", 1800, 311, 7), half("o_orderkey", 240, 733, 5))
 
 
 @query(
@@ -316,6 +316,19 @@ def edge_lookup(spark, d):
     return ct.has_edge(graph(spark, d), wanted)
 
 
+@query(
+    "edge_lookup_all_bins",
+    """with e as (select id1,id2 from c_edges where weight>0 union select id2,id1 from c_edges where weight>0),
+    p as (select idx id1, (idx*37+11)%(select count(*) from c_nodes) id2 from c_nodes)
+    select p.id1, p.id2, e.id1 is not null connected from p left join e on e.id1=p.id1 and e.id2=p.id2""",
+)
+def edge_lookup_all_bins(spark, d):
+    """Every bin asks for one partner, spread over all bins, in the whole contact map."""
+    n = nodes(spark, d).select("idx")
+    wanted = n.select(F.col("idx").alias("id1"), ((F.col("idx") * 37 + 11) % n.count()).alias("id2"))
+    return ct.has_edge(ct.swap_union(edges(spark, d)), wanted)
+
+
 @query("node_neighbours", "select id2 idx, weight from c_graph where id1=100")
 def node_neighbours(spark, d):
     return ct.neighbours(graph(spark, d), 100)

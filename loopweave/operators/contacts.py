@@ -14,8 +14,10 @@ from loopweave.plans.topk import top_k
 PAIR = ["chrom1", "pos1", "chrom2", "pos2"]
 
 
-def index_bins(bins: DataFrame, rank: str = "chrom") -> DataFrame:
-    """Number the valid bins 0..n-1 in (rank, pos) order."""
+def index_bins(bins: DataFrame, rank: str = "chrom", valid: str | None = None) -> DataFrame:
+    """Number the valid bins 0..n-1 in (rank, pos) order; ``valid`` names a flag, without one all are valid."""
+    if valid is not None:
+        bins = bins.filter(F.col(valid)).drop(valid)
     return position_index(bins, rank)
 
 
@@ -202,7 +204,8 @@ def short_range(edges: DataFrame, k: int) -> DataFrame:
 
 
 def drop_empty(edges: DataFrame) -> DataFrame:
-    """Sub-matrix on the indices whose column sum is not zero."""
+    """Sub-matrix on the indices whose column sum is not zero; cells without a weight are none."""
+    edges = drop_missing(edges)
     alive = edges.groupBy("id2").agg(F.sum("weight").alias("s")).filter("s <> 0").select("id2")
     rows = alive.withColumnRenamed("id2", "id1")
     return edges.join(alive, "id2", "left_semi").join(rows, "id1", "left_semi")
@@ -225,7 +228,11 @@ def renumbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rejoined(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Pairs whose two halves were both lifted: ``first`` and ``second`` (line, chrom, start, end), first with weight."""
+    """Pairs whose two halves were both lifted: ``first`` and ``second`` (line, chrom, start, end), first with weight.
+
+    A half that was lost is absent on its side, or there without chrom, start or end.
+    """
+    first, second = (x.dropna(subset=["chrom", "start", "end"]) for x in (first, second))
     left = first.select("line", *[F.col(c).alias(f"{c}1") for c in ("chrom", "start", "end")], "weight")
     right = second.select("line", *[F.col(c).alias(f"{c}2") for c in ("chrom", "start", "end")])
     return left.join(right, "line").select("line", "chrom1", "start1", "end1", "chrom2", "start2", "end2", "weight")
