@@ -10,6 +10,8 @@ from loopweave.catalog.registry import cte, query
 from loopweave.operators import contacts as ct
 
 BASE = 40
+#: Base quota of the reference's workload.
+REFERENCE_BASE = 2000
 
 
 @query("contact_dump", "select chrom1,pos1,chrom2,pos2,weight from c_dump")
@@ -107,6 +109,18 @@ def quota_graph_significance(spark, d):
     )
 
 
+cte("c_quota_reference", f"select chrom1, chrom2, cast(floor({REFERENCE_BASE}*((x.n/(select min(n) from c_size)::double)*(y.n/(select min(n) from c_size)::double))) as bigint) k from (select chrom chrom1, n from c_size) x join (select chrom chrom2, n from c_size) y on chrom1<=chrom2")
+
+
+@query(
+    "quota_graph_reference_base",
+    f"""with g as ({GRAPH.format(rank=RANK, extra="").replace("c_quota", "c_quota_reference")})
+    select id1,id2,weight from g union all select id2,id1,weight from g""",
+)
+def quota_graph_reference_base(spark, d):
+    return longs(ct.quota_graph(dump(spark, d), nodes(spark, d), REFERENCE_BASE), "weight")
+
+
 @query("quota_graph_intra", GRAPH.format(rank=RANK, extra="and q.chrom1=q.chrom2"))
 def quota_graph_intra(spark, d):
     return graph(spark, d, intra=True, symmetric=False)
@@ -387,6 +401,19 @@ def adjacency_lists(spark, d):
                     F.size("neighbours").cast("bigint").alias("n"))
 
 
+@query(
+    "adjacency_lists_whole_map",
+    """with e as (select id1,id2 from c_edges union all select id2,id1 from c_edges where id1<>id2)
+    select id1 node, 0::bigint part, list(id2 order by id2) neighbours, count(*)::bigint n from e group by id1""",
+)
+def adjacency_lists_whole_map(spark, d):
+    from loopweave.sources.graphs import adjacency
+
+    a = adjacency(ct.both_directions_with_loops(edges(spark, d)).drop("weight"))
+    return a.select("node", "part", F.transform("neighbours", lambda x: x["dst"]).alias("neighbours"),
+                    F.size("neighbours").cast("bigint").alias("n"))
+
+
 @query(
     "densified_graph",
     """with e as (select id1 s,id2 t,weight::double w from c_graph), o as (select s,count(*) n,sum(w) sw from e group by s),

@@ -28,7 +28,7 @@ def test_bins_by_flag_and_cells_without_weight(spark):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["edge_lookup_all_bins", "lifted_pairs", "matrix_drop_empty", "contact_index"])
+@pytest.mark.parametrize("name", ["edge_lookup_all_bins", "lifted_pairs", "matrix_drop_empty", "contact_index", "quota_graph_reference_base", "adjacency_lists_whole_map"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
