@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import decontam, html, kdshards, langid, pieces, setjoin, topk, toxicity, urls, warc
+from loopweave.llm import collocations, decontam, html, kdshards, langid, pieces, setjoin, topk, toxicity, urls, warc
 from loopweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,35 @@ def main_text(spark: SparkSession, folder: str) -> DataFrame:
 def piece_coding(spark: SparkSession, folder: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, folder, "documents"), with_text=False)
     return coded.select("doc_id", "ids", "n_ids", "exact")
+
+
+@register(
+    "op13_collocations",
+    r"""
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') words from p),
+g1 as (select lang, w, cast(count(*) as bigint) f from (select lang, unnest(words) w from w) group by 1, 2),
+n as (select lang, cast(sum(f) as bigint) n from g1 group by 1),
+g2 as (select lang, words[i] w1, words[i + 1] w2, cast(count(*) as bigint) f
+  from (select lang, words, unnest(range(1, len(words))) i from w) group by 1, 2, 3 having count(*) >= 10),
+g3 as (select lang, words[i] w1, words[i + 1] w2, words[i + 2] w3, cast(count(*) as bigint) f
+  from (select lang, words, unnest(range(1, len(words) - 1)) i from w) group by 1, 2, 3, 4 having count(*) >= 10),
+longer as (select lang, w1, w2, max(f) m from (select lang, w1, w2, f from g3 union all select lang, w2, w3, f from g3) group by 1, 2, 3),
+c2 as (select g.lang, g.w1 || ' ' || g.w2 phrase, g.f a, x.f l, y.f r,
+    cast((1000000 * g.f::hugeint * g.f) // (x.f::hugeint * y.f) as bigint) score
+  from g2 g join g1 x on x.lang = g.lang and x.w = g.w1 join g1 y on y.lang = g.lang and y.w = g.w2
+  left join longer t on t.lang = g.lang and t.w1 = g.w1 and t.w2 = g.w2 where coalesce(t.m, 0) * 100 < 50 * g.f),
+s3 as (select g.lang, g.w1 || ' ' || g.w2 || ' ' || g.w3 phrase, g.f a, x.f f1, yz.f f23, xy.f f12, z.f f3,
+    (1000000 * g.f::hugeint * g.f) // (x.f::hugeint * yz.f) s1, (1000000 * g.f::hugeint * g.f) // (xy.f::hugeint * z.f) s2
+  from g3 g join g1 x on x.lang = g.lang and x.w = g.w1 join g1 z on z.lang = g.lang and z.w = g.w3
+  join g2 xy on xy.lang = g.lang and xy.w1 = g.w1 and xy.w2 = g.w2 join g2 yz on yz.lang = g.lang and yz.w1 = g.w2 and yz.w2 = g.w3),
+a as (select * from c2 union all
+  select lang, phrase, a, case when s1 <= s2 then f1 else f12 end, case when s1 <= s2 then f23 else f3 end, cast(least(s1, s2) as bigint) from s3)
+select lang, rank, phrase, a, l, r, n, score from
+  (select a.*, n.n, row_number() over (partition by a.lang order by score desc, a desc, phrase) rank from a join n on n.lang = a.lang)
+where rank <= 2000
+""",
+)
+def collocation_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
