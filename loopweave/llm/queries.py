@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import collocations, decontam, html, kdshards, langid, pieces, setjoin, topk, toxicity, urls, warc
+from loopweave.llm import collocations, decontam, html, kdshards, langid, lexical, pieces, setjoin, topk, toxicity, urls, warc
 from loopweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,29 @@ def piece_coding(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_ids", "exact")
 
 
+@register(
+    "op12_lexical_search",
+    r"""
+with d as (select row_number() over () i, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') words from documents where text is not null),
+n as (select i, doc_id, cast(len(words) as bigint) n from d where len(words) > 0),
+t as (select cast(count(*) as bigint) nn, cast(sum(n) as bigint) ll from n),
+tf as (select i, w, cast(count(*) as bigint) tf from (select i, unnest(words) w from d) group by 1, 2),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) w from benchmark),
+wt as (select w, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double)) as bigint) wt from
+  (select w, count(*) df from tf group by w), t),
+s as (select q.item_id, tf.i, cast(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) as bigint) score
+  from q join tf using (w) join wt using (w) join n on n.i = tf.i, t group by 1, 2)
+select item_id, cast(rank as integer) rank, doc_id, score from
+  (select s.item_id, n.doc_id, s.score, row_number() over (partition by s.item_id order by s.score desc, n.doc_id) rank
+   from s join n on n.i = s.i where s.score > 0) where rank <= 50
+""",
+)
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @register(
     "op13_collocations",
     r"""
