@@ -35,7 +35,7 @@ from loopweave.llm.common import Bloom, slices, stored
 from loopweave.plans.topk import top_k
 from loopweave.session import bound_batches
 
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Rows of counts in an Arrow batch.
 OUT_ROWS = 1 << 16
 #: Every character that ends a piece becomes a line feed.
@@ -156,7 +156,7 @@ def build_index(docs: DataFrame, seed: int = 0, shard_words: int = SHARD_WORDS)
                         held = 0
         yield from flushed()
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4 << 20)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text is not null")
     return stored(texts.mapInArrow(build, SHARD), "phrase-index")
 
