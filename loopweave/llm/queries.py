@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopweave.llm import collocations, decontam, html, kdshards, langid, lexical, pieces, setjoin, topk, toxicity, urls, warc
+from loopweave.llm import collocations, decontam, html, kdshards, langid, lexical, pieces, repeats, setjoin, topk, toxicity, urls, warc
 from loopweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,29 @@ def piece_coding(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_ids", "exact")
 
 
+@register(
+    "op11_repeats",
+    r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+w as (select doc_id, i, md5(x[2 * i - 1:2 * i + 198]) s from (select doc_id, x, unnest(range(1, len(x) // 2 - 98)) i from d)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) k from w) where k > 1),
+o as (select doc_id, i, lag(i) over (partition by doc_id order by i) before from r),
+g as (select doc_id, i, sum(case when before is null or i > before + 100 then 1 else 0 end) over (partition by doc_id order by i) g from o),
+sp as (select doc_id, g, min(i) a, max(i) + 99 b from g group by 1, 2),
+k as (select doc_id, a - 1 b, coalesce(lag(b) over (partition by doc_id order by a), 0) + 1 a from sp
+  union all select doc_id, 1000000000000, max(b) + 1 from sp group by doc_id),
+kept as (select d.doc_id, string_agg(x[2 * a - 1:least(2 * b, len(x))], '' order by a) x from d join k using (doc_id) group by d.doc_id),
+n as (select doc_id, sum(b - a + 1) removed, count(*) spans from sp group by doc_id)
+select d.doc_id, cast(len(d.x) // 2 as bigint) n_bytes, cast(coalesce(removed, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(kept.x, d.x))) kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+""",
+)
+def repeated_text(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register(
     "op12_lexical_search",
     r"""
