@@ -204,7 +204,7 @@ JUDGED_NAMES = ["d", "t", "lo", "start", "n"]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if x is None else x.as_buffer().to_pybytes() for x in batch.column(batch.schema.get_field_index("text"))]
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(batch.schema.get_field_index("text"))]
 
 
 def anchor_counts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
