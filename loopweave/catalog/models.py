@@ -92,22 +92,30 @@ def prior(spark, d):
     )
 
 
-def propagate_sql(rounds: int) -> str:
+cte("c_sym_loose", "select id1,id2,weight from c_sym where id1<>id2")
+
+
+def whole_map(spark, d):
+    """The whole contact map in both directions, without loops."""
+    return ct.without_loops(symmetric(spark, d))
+
+
+def propagate_sql(rounds: int, links: str = "c_graph") -> str:
     steps = [
         f"""q0 as materialized (select i.idx, s.k, coalesce(p.r, 1.0/{K}) q, p.r from
-      (select id1 idx from c_graph union select idx from c_prior) i join (select unnest(range({K})) k) s on true
+      (select id1 idx from {links} union select idx from c_prior) i join (select unnest(range({K})) k) s on true
       left join c_prior p on p.idx=i.idx and p.k=s.k)"""
     ]
     for n in range(1, rounds + 1):
         steps.append(
             f"""p{n} as materialized (select idx, k, r, exp(b)/sum(exp(b)) over (partition by idx) p from (
       select q.idx, q.k, any_value(q.r) r, (coalesce(sum(e.weight*ln(j.q)),0)+ln(any_value(q.q)))/(coalesce(sum(e.weight),0)+1) b
-      from q{n - 1} q left join c_graph e on e.id1=q.idx left join q{n - 1} j on j.idx=e.id2 and j.k=q.k group by q.idx,q.k))"""
+      from q{n - 1} q left join {links} e on e.id1=q.idx left join q{n - 1} j on j.idx=e.id2 and j.k=q.k group by q.idx,q.k))"""
         )
         steps.append(
             f"""q{n} as materialized (select p.idx, p.k, any_value(p.r) r, (coalesce(any_value(p.r),0)+coalesce(sum(e.weight*j.p),0)+any_value(p.p))
       /(case when any_value(p.r) is null then 0 else 1 end + coalesce(sum(e.weight),0)+1) q
-      from p{n} p left join c_graph e on e.id2=p.idx left join p{n} j on j.idx=e.id1 and j.k=p.k group by p.idx,p.k)"""
+      from p{n} p left join {links} e on e.id2=p.idx left join p{n} j on j.idx=e.id1 and j.k=p.k group by p.idx,p.k)"""
         )
     return "with " + ",\n".join(steps)
 
@@ -123,6 +131,17 @@ def measure_propagation(spark, d):
     return out.select("idx", *[r(F.col("post")[k]).alias(f"p{k}") for k in range(K)])
 
 
+@query(
+    "measure_propagation_whole_map",
+    propagate_sql(5, "c_sym_loose")
+    + " select idx, " + ", ".join(f"round(max(case when k={k} then p end),6)+0.0 p{k}" for k in range(K))
+    + " from p5 group by idx",
+)
+def measure_propagation_whole_map(spark, d):
+    out = mprop.propagate(whole_map(spark, d), prior(spark, d))
+    return out.select("idx", *[r(F.col("post")[k]).alias(f"p{k}") for k in range(K)])
+
+
 POTENTIAL = np.log(np.array([[0.6, 0.25, 0.15], [0.25, 0.5, 0.25], [0.15, 0.25, 0.6]]))
 
 
@@ -131,35 +150,56 @@ def unary(spark, d):
     return nodes(spark, d).select("idx", F.array(*v).alias("phi"))
 
 
-def beliefs_sql(rounds: int) -> str:
-    psi = ",".join(f"({a},{b},{float(POTENTIAL[a, b])!r}::double)" for a in range(K) for b in range(K))
+PSI = "select * from (values {}) t(a,b,w)".format(
+    ",".join(f"({a},{b},{float(POTENTIAL[a, b])!r}::double)" for a in range(K) for b in range(K))
+)
+PHI = f"select idx, k, -((idx*13+k*29)%11)::double/5 f from c_nodes, (select unnest(range({K})) k)"
+
+
+def beliefs_sql(rounds: int = 100, links: str = "c_graph", psi: str = PSI, phi: str = PHI, head: str = "", tol: float = 1e-2) -> str:
+    """Table ``b`` (idx, k, b) of the first round whose mean moves by less than ``tol``, else of the last."""
     steps = [
-        f"psi as (select * from (values {psi}) t(a,b,w))",
-        f"phi as materialized (select idx, k, -((idx*13+k*29)%11)::double/5 f from c_nodes, (select unnest(range({K})) k))",
-        "ed as materialized (select distinct id1 s, id2 t from c_graph where id1<>id2)",
+        f"psi as materialized ({psi})",
+        f"phi as materialized ({phi})",
+        f"ed as materialized (select distinct id1 s, id2 t from {links} where id1<>id2)",
         f"m0 as materialized (select s, t, k, 0.0::double m from ed, (select unnest(range({K})) k))",
     ]
     for n in range(1, rounds + 1):
         steps.append(
-            f"""b{n} as materialized (select idx, k, f-ln(sum(exp(f)) over (partition by idx)) b from (
-      select p.idx, p.k, any_value(p.f)+coalesce(sum(m.m),0) f from phi p left join m{n - 1} m on m.t=p.idx and m.k=p.k group by p.idx,p.k))"""
+            f"""b{n} as materialized (select idx, k, f-ln(sum(exp(f-top)) over (partition by idx))-top b from (
+      select *, max(f) over (partition by idx) top from (
+      select p.idx, p.k, any_value(p.f)+coalesce(sum(m.m),0) f from phi p left join m{n - 1} m on m.t=p.idx and m.k=p.k group by p.idx,p.k)))"""
         )
         if n < rounds:
             steps.append(
-                f"""m{n} as materialized (select e.s, e.t, psi.a k, ln(sum(exp(psi.w+b.b-v.m))) m from ed e
-      join b{n} b on b.idx=e.s join m{n - 1} v on v.s=e.t and v.t=e.s and v.k=b.k join psi on psi.b=b.k group by e.s,e.t,psi.a)"""
+                f"""m{n} as materialized (select e.s, e.t, psi.a k, any_value(c.c)+ln(sum(exp(psi.w+b.b-v.m-c.c))) m from ed e
+      join b{n} b on b.idx=e.s join m{n - 1} v on v.s=e.t and v.t=e.s and v.k=b.k join psi on psi.b=b.k
+      join (select e.s, e.t, max(b.b-v.m) c from ed e join b{n} b on b.idx=e.s join m{n - 1} v on v.s=e.t and v.t=e.s and v.k=b.k group by 1,2) c
+        on c.s=e.s and c.t=e.t group by e.s,e.t,psi.a)"""
             )
-    return "with " + ",\n".join(steps)
+    means = " union all ".join(f"select {n} n, sum(b)/count(distinct idx) s from b{n}" for n in range(1, rounds + 1))
+    steps.append(f"means as materialized ({means})")
+    steps.append(
+        f"stop as materialized (select coalesce(min(n), {rounds}) n from (select n, abs(s-lag(s) over (order by n)) d from means) where d<{tol})"
+    )
+    steps.append(
+        "b as materialized (" + " union all ".join(f"select * from b{n} where (select n from stop)={n}" for n in range(1, rounds + 1)) + ")"
+    )
+    return f"with {head}" + ",\n".join(steps)
 
 
-@query(
-    "loopy_beliefs",
-    beliefs_sql(3)
-    + " select idx, " + ", ".join(f"round(max(case when k={k} then b end),6)+0.0 b{k}" for k in range(K))
-    + " from b3 group by idx",
-)
+PER_NODE = " select idx, " + ", ".join(f"round(max(case when k={k} then b end),6)+0.0 b{k}" for k in range(K)) + " from b group by idx"
+
+
+@query("loopy_beliefs", beliefs_sql() + PER_NODE)
 def loopy_beliefs(spark, d):
-    out = mrf.loopy_beliefs(graph(spark, d), unary(spark, d), POTENTIAL, max_iter=3, tol=0.0)
+    out = mrf.loopy_beliefs(graph(spark, d), unary(spark, d), POTENTIAL)
+    return out.select("idx", *[r(F.col("belief")[k]).alias(f"b{k}") for k in range(K)])
+
+
+@query("loopy_beliefs_whole_map", beliefs_sql(links="c_sym_loose") + PER_NODE)
+def loopy_beliefs_whole_map(spark, d):
+    out = mrf.loopy_beliefs(whole_map(spark, d), unary(spark, d), POTENTIAL)
     return out.select("idx", *[r(F.col("belief")[k]).alias(f"b{k}") for k in range(K)])
 
 
@@ -197,6 +237,35 @@ def random_field(spark, d):
     return mrf.fit_random_field(f, bin_graph(f), k=3)
 
 
+# One step of the random field's EM from given Gaussians (unit covariance) and labels.
+MEANS = [[0.5 * k + 0.1 * t for t in range(len(TRACKS))] for k in range(K)]
+FIELD = f"""fx as materialized (select idx, chrom, pos, {", ".join(f"asinh({t}) x{i}" for i, t in enumerate(TRACKS))} from c_valid),
+    lk as materialized (select a.idx id1, b.idx id2 from fx a join fx b on a.chrom=b.chrom and abs(a.pos-b.pos)=1),
+    cells as (select p.l a, q.l b, coalesce(n, 0)+1e-100 n from (select unnest(range({K})) l) p cross join (select unnest(range({K})) l) q
+      left join (select id1%{K} l1, id2%{K} l2, count(*)::double n from lk group by 1,2) c on c.l1=p.l and c.l2=q.l),
+    """
+FIELD_PHI = " union all ".join(
+    f"select idx, {k} k, -0.5*({len(TRACKS)}*ln(2*pi())+" + "+".join(f"(x{i}-{m!r})*(x{i}-{m!r})" for i, m in enumerate(means)) + ") f from fx"
+    for k, means in enumerate(MEANS)
+)
+
+
+@query(
+    "random_field_step",
+    beliefs_sql(links="lk", psi="select a, b, ln(n)-ln(sum(n) over ()) w from cells", phi=FIELD_PHI, head=FIELD)
+    + f""", lab as (select idx, k from (select idx, k, row_number() over (partition by idx order by b desc, k) i from b) where i=1),
+    sc as (select phi.idx, phi.k, any_value(phi.f)+coalesce(sum(psi.w),0) v from phi left join lk on lk.id1=phi.idx
+      left join lab on lab.idx=lk.id2 left join psi on psi.a=lab.k and psi.b=phi.k group by phi.idx, phi.k),
+    nm as (select k, any_value(t)+ln(sum(exp(v-t))) z from (select *, max(v) over (partition by k) t from sc) group by k)
+    select idx, cast(k as bigint) label from (select sc.idx, sc.k, row_number() over (partition by idx order by v-z desc, sc.k) i from sc join nm using (k)) where i=1""",
+)
+def random_field_step(spark, d):
+    f = features(spark, d)
+    params = [(np.array(m), np.eye(len(m))) for m in MEANS]
+    start = f.select("idx", (F.col("idx") % K).alias("label"))
+    return mrf.fit_random_field(f, bin_graph(f), k=K, em_iter=1, params=params, labels=start)
+
+
 @query("hidden_markov_segments")
 def hidden_markov_segments(spark, d):
     return label_bins(features(spark, d), 4)

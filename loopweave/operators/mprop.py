@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopweave.plans.rounds import Rounds, bucketed
 from loopweave.plans.vectors import items, log_sum_exp, sum_vector
-from loopweave.session import materialize
 
 FLOOR = 1e-300
 
@@ -26,12 +26,15 @@ def propagate(
 
     ``edges(id1, id2, weight)`` hold both directions. Nodes without a measure start uniform.
     Neighbour sums are K partially aggregated columns, so a hub never gathers in one task
-    before its sums are combined.
+    before its sums are combined. The edges are laid out once by either end; a round shuffles vectors.
     """
+    steps = Rounds()
     width = measures.agg(F.max(F.size("post"))).first()[0]
     flat = F.array(*[F.lit(1.0 / width)] * width)
-    ends = edges.select(F.explode(F.array("id1", "id2")).alias("idx")).distinct()
-    state = materialize(
+    by_first = bucketed(edges, "id1")
+    by_second = bucketed(by_first, "id2")
+    ends = by_first.select(F.explode(F.array("id1", "id2")).alias("idx")).distinct()
+    state = steps.keep(
         ends.join(measures, "idx", "full").select(
             "idx",
             F.col("post").alias("r"),
@@ -43,7 +46,7 @@ def propagate(
     for _ in range(rounds):
         logs = [F.log(F.greatest(v, F.lit(FLOOR))) for v in items("q", width)]
         pulled = _neighbour_sums(
-            edges, state.select(F.col("idx").alias("id2"), F.array(*logs).alias("_v")), "id2", "id1", width
+            by_second, state.select(F.col("idx").alias("id2"), F.array(*logs).alias("_v")), "id2", "id1", width
         )
         weights = F.coalesce("w", zero) + F.lit(self_weight)
         pull = [
@@ -51,21 +54,21 @@ def propagate(
             / (F.lit(nu) + F.lit(mu) * weights)
             for s, own in zip(items("s", width), logs)
         ]
-        p = materialize(
+        p = steps.keep(
             state.join(pulled, "idx", "left")
             .select("idx", "r", F.array(*pull).alias("_b"))
             .withColumn("_z", log_sum_exp(items("_b", width)))
             .select("idx", "r", F.array(*[F.exp(b - F.col("_z")) for b in items("_b", width)]).alias("p"))
         )
         pushed = _neighbour_sums(
-            edges, p.select(F.col("idx").alias("id1"), F.col("p").alias("_v")), "id1", "id2", width
+            by_first, p.select(F.col("idx").alias("id1"), F.col("p").alias("_v")), "id1", "id2", width
         )
         below = F.col("r").isNotNull().cast("double") + F.lit(mu) * weights
         push = [
             (F.coalesce(r, zero) + F.lit(mu) * (F.coalesce(s, zero) + F.lit(self_weight) * own)) / below
             for r, s, own in zip(items("r", width), items("s", width), items("p", width))
         ]
-        state = materialize(
+        state = steps.keep(
             p.join(pushed, "idx", "left").select("idx", "r", "p", F.array(*push).alias("q"))
         )
     return state.select("idx", F.col("p").alias("post"))

@@ -1,7 +1,9 @@
 """Markov random field over the contact graph: loopy belief propagation inside EM.
 
-An undirected edge is one row that carries both of its messages, so the message of the
-opposite direction is always at hand and only beliefs are joined.
+A row (node, nbr) holds the last message that ``node`` got from ``nbr``; the answer to it needs the
+node's belief and this row only. Rows are laid out once, by node and, for hubs, by parts of their
+neighbours, and keep that layout from round to round. A round shuffles sums and beliefs of nodes and
+the messages of the active frontier: only nodes that got a changed message send again.
 """
 
 from __future__ import annotations
@@ -9,15 +11,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loopweave.functions.gaussian import normal_log_density
 from loopweave.operators.mixture import fit_mixture, posterior
+from loopweave.plans.rounds import Rounds, bucketed, drop_bucketed
 from loopweave.plans.vectors import argmax, items, log_sum_exp, sum_vector, total
-from loopweave.session import materialize
 
 TINY = 1e-100
+#: Neighbours of a node that are kept in one part.
+PART = 1 << 16
+#: A message that moved by less than this in every state is not taken as changed.
+STILL = 1e-12
 
 
 def transition_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -57,59 +63,99 @@ def _scores(k: int) -> Column:
     )
 
 
+class MessageRows:
+    """node, part, nbr, back of every direction of every edge, laid out once by (node, part).
+
+    A node's neighbours are dealt into parts of about ``most`` by hash; ``back`` is the part in which the
+    neighbour keeps its row of the node.
+    """
+
+    def __init__(self, edges: DataFrame, most: int = PART):
+        ends = edges.filter("id1 <> id2").select(F.col("id1").alias("node"), F.col("id2").alias("nbr"))
+        steps = Rounds()
+        both = steps.keep(ends.union(ends.select("nbr", "node")).distinct())
+        parts = both.groupBy("node").agg(F.ceil(F.count("*") / F.lit(float(most))).alias("parts"))
+        parts = steps.keep(parts)
+        dealt = (
+            both.join(parts, "node")
+            .withColumn("part", F.pmod(F.xxhash64("nbr"), F.col("parts")))
+            .drop("parts")
+            .join(parts.withColumnRenamed("node", "nbr"), "nbr")
+            .withColumn("back", F.pmod(F.xxhash64("node"), F.col("parts")))
+        )
+        self.rows = bucketed(dealt.select("node", "part", "nbr", "back"), "node", "part")
+        self.seats = steps.keep(self.rows.select("node", "part").distinct())
+
+
+def _beliefs(unary: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """idx, belief, touched: whether the node got a changed message. Sums are made by part first."""
+    parts = state.groupBy("node", "part").agg(sum_vector(F.col("got"), k).alias("s"), F.max("fresh").alias("touched"))
+    sums = parts.groupBy(F.col("node").alias("idx")).agg(sum_vector(F.col("s"), k).alias("s"), F.max("touched").alias("touched"))
+    return (
+        unary.join(sums, "idx", "left")
+        .select("idx", _scores(k).alias("_b"), F.coalesce("touched", F.lit(False)).alias("touched"))
+        .withColumn("_z", log_sum_exp(items("_b", k)))
+        .select("idx", F.array(*[b - F.col("_z") for b in items("_b", k)]).alias("belief"), "touched")
+    )
+
+
 def loopy_beliefs(
-    edges: DataFrame, unary: DataFrame, potential: np.ndarray, max_iter: int = 100, tol: float = 1e-2
+    edges: DataFrame | MessageRows,
+    unary: DataFrame,
+    potential: np.ndarray,
+    max_iter: int = 100,
+    tol: float = 1e-2,
+    still: float = STILL,
 ) -> DataFrame:
     """idx, belief (log, normalised per node), label.
 
     ``edges(id1, id2)`` hold each undirected edge once or in both directions; ``unary(idx, phi)``
-    are log densities. Stops when the sum of all beliefs moves by less than ``tol``.
+    are log densities. Stops when the mean over the nodes of their summed beliefs moves by less than
+    ``tol``, or when no message moved by more than ``still``.
     """
     k = len(potential)
+    rows = edges if isinstance(edges, MessageRows) else MessageRows(edges)
+    unary = Rounds().keep(unary.select("idx", "phi"))
     zero = F.array(*[F.lit(0.0)] * k)
-    links = materialize(
-        edges.filter("id1 <> id2")
-        .select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v"))
-        .distinct()
-        .withColumn("to_u", zero)
-        .withColumn("to_v", zero)
-    )
+    state = rows.rows.withColumn("got", zero).withColumn("fresh", F.lit(True))
     last = None
-    beliefs = None
     for step in range(max_iter):
-        arriving = F.explode(
-            F.array(
-                F.struct(F.col("u").alias("idx"), F.col("to_u").alias("m")),
-                F.struct(F.col("v").alias("idx"), F.col("to_v").alias("m")),
-            )
+        beliefs = _beliefs(unary, state, k)
+        if step + 1 == max_iter:
+            break
+        seen = Observation()
+        watched = beliefs.observe(
+            seen,
+            F.count("*").alias("n"),
+            F.sum(total(items("belief", k))).alias("s"),
+            F.max(F.col("touched").cast("int")).alias("active"),
         )
-        sums = (
-            links.select(arriving.alias("a")).groupBy("a.idx").agg(sum_vector(F.col("a.m"), k).alias("s"))
+        senders = watched.filter("touched").withColumnRenamed("idx", "node").join(rows.seats, "node")
+        sent = state.join(senders.select("node", "part", "belief"), ["node", "part"]).select(
+            F.col("nbr").alias("node"),
+            F.col("back").alias("part"),
+            F.col("node").alias("nbr"),
+            _send(potential, "belief", "got").alias("sent"),
         )
-        beliefs = materialize(
-            unary.join(sums, "idx", "left")
-            .select("idx", _scores(k).alias("_b"))
-            .withColumn("_z", log_sum_exp(items("_b", k)))
-            .select("idx", F.array(*[b - F.col("_z") for b in items("_b", k)]).alias("belief"))
+        moved = F.greatest(*[F.abs(a - b) for a, b in zip(items("sent", k), items("got", k))], F.lit(0.0)) > still
+        arrived = state.drop("fresh").join(sent, ["node", "part", "nbr"], "left").withColumn("fresh", F.coalesce(moved, F.lit(False)))
+        following = bucketed(
+            arrived.select("node", "part", "nbr", "back", F.when(F.col("fresh"), F.col("sent")).otherwise(F.col("got")).alias("got"), "fresh"),
+            "node", "part", dealt=True,
         )
-        settled = beliefs.agg(F.sum(total(items("belief", k)))).first()[0]
-        if last is not None and abs(settled - last) < tol:
+        settled = seen.get
+        mean = (settled["s"] or 0.0) / max(settled["n"], 1)
+        if not settled["active"] or last is not None and abs(mean - last) < tol:
+            drop_bucketed(following)
             break
-        last = settled
-        if step + 1 == max_iter:
-            break
-        at = beliefs.toDF("u", "bu"), beliefs.toDF("v", "bv")
-        links = materialize(
-            links.join(at[0], "u")
-            .join(at[1], "v")
-            .select(
-                "u",
-                "v",
-                _send(potential, "bv", "to_v").alias("to_u"),
-                _send(potential, "bu", "to_u").alias("to_v"),
-            )
-        )
-    return beliefs.withColumn("label", argmax(F.col("belief")))
+        if step:
+            previous = state
+            state = following
+            drop_bucketed(previous)
+        else:
+            state = following
+        last = mean
+    return Rounds().keep(beliefs.select("idx", "belief")).withColumn("label", argmax(F.col("belief")))
 
 
 def _label_gaussians(labelled: DataFrame, k: int, width: int) -> list:
@@ -147,7 +193,10 @@ def fit_random_field(
     As in the model this rebuilds, the scores of the E-step are normalised per state over all
     nodes, not per node over the states.
     """
-    features = materialize(features.select("idx", "features"))
+    steps = Rounds()
+    features = steps.keep(features.select("idx", "features"))
+    edges = bucketed(edges.select("id1", "id2", "weight"), "id2")
+    rows = MessageRows(edges)
     width = len(features.select("features").first()[0])
     if params is None:
         model, params = fit_mixture(features, k, seed)
@@ -155,25 +204,25 @@ def fit_random_field(
     potential = edge_potential(edges, labels, k)
     previous = None
     for _ in range(em_iter):
-        unary = materialize(features.select("idx", normal_log_density("features", params).alias("phi")))
-        beliefs = loopy_beliefs(edges, unary, potential, lbp_iter, tol)
+        unary = steps.keep(features.select("idx", normal_log_density("features", params).alias("phi")))
+        beliefs = loopy_beliefs(rows, unary, potential, lbp_iter, tol)
         # Every neighbour adds the potential row of its label, weighted by the edge.
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in potential])
+        pulls = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in potential])
         pulled = (
             edges.join(beliefs.select(F.col("idx").alias("id2"), "label"), "id2")
-            .withColumn("_r", rows[F.col("label").cast("int")])
+            .withColumn("_r", pulls[F.col("label").cast("int")])
             .withColumn("_x", F.array(*[v * F.col("weight") for v in items("_r", k)]))
             .groupBy(F.col("id1").alias("idx"))
             .agg(sum_vector(F.col("_x"), k).alias("s"))
         )
-        scores = materialize(unary.join(pulled, "idx", "left").select("idx", _scores(k).alias("score")))
+        scores = steps.keep(unary.join(pulled, "idx", "left").select("idx", _scores(k).alias("score")))
         tops = scores.agg(*[F.max(F.col("score")[i]).alias(f"t{i}") for i in range(k)]).first()
         sums = scores.agg(
             *[F.sum(F.exp(F.col("score")[i] - F.lit(tops[i]))).alias(f"s{i}") for i in range(k)]
         ).first()
         norm = [float(tops[i] + math.log(sums[i])) for i in range(k)]
         label = argmax(F.array(*[s - F.lit(n) for s, n in zip(items("score", k), norm)]))
-        current = materialize(scores.select("idx", label.alias("label")))
+        current = steps.keep(scores.select("idx", label.alias("label")))
         params = _label_gaussians(features.join(current, "idx"), k, width)
         potential = edge_potential(edges, current, k)
         if previous is not None:

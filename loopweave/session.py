@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Scratch paths given to this process's queries.
+#: Scratch paths and table names given to this process's queries.
 _handed_out: list[str] = []
+_tables: list[str] = []
 
 
 def build_session(app: str = "loopweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,8 +64,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A fresh table name and its path below the shared folder; ``clear_scratch`` removes both."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _tables.append(table)
+    return table, scratch_path(spark, name)
+
+
+def drop_scratch(spark: SparkSession, table: str, path: str) -> None:
+    """Remove one scratch table before the others."""
+    spark.sql(f"drop table if exists {table}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete what this process wrote below its scratch paths, once no result reads it any more."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _handed_out:
