@@ -40,8 +40,12 @@ from loopweave.llm.common import Bloom, slices, stored
 from loopweave.session import bound_batches
 
 LENGTH = 100
+#: Bytes of the words that the sort of a block begins with.
+WORD = 5
 GRAM = 32
 CHUNK = 1 << 20
+#: Bytes of short texts that are hashed together.
+GROUP = 1 << 18
 #: Classes of an anchor up to which they meet in one block, and the windows of the parts beyond it.
 HOT = 1024
 STEPS = (8, 1)
@@ -61,14 +65,13 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from every place on, of words of 8 bytes joined two by two."""
-    x, size = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy(), 8
-    while size < GRAM:
-        x = _scramble(x * MIX)
-        step = min(size, GRAM - size)
-        x = x[:-step] ^ (x[step:] * MIX)
-        size += step
-    return _scramble(x)
+    """A hash of the ``GRAM`` bytes from every place on: a sum of its words of 8 bytes with odd factors, scrambled."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    n = len(data) - GRAM + 1
+    out = words[:n] * MIX
+    for at in range(8, GRAM, 8):
+        out += words[at : at + n] * np.uint64((int(MIX) * (2 * at + 1)) % (1 << 64))
+    return _scramble(out)
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -117,7 +120,7 @@ def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes,
     for t, text in enumerate(texts):
         for base in range(0, len(text) - length + 1, CHUNK):
             piece = text[base : base + CHUNK + length - 1]
-            if size + len(piece) >= 1 << 21:
+            if held and size + len(piece) > GROUP:
                 yield found()
                 held, size = [], 0
             held.append((t, base, piece))
@@ -126,51 +129,63 @@ def segments(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[bytes,
         yield found()
 
 
-def suffix_order(codes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Circular suffixes of ``codes`` (bytes) sorted by ``length`` bytes or more: words first, then doubled ranks."""
+def suffix_order(codes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """order, word: circular suffixes of ``codes`` (bytes, below 2**21) sorted by ``length`` bytes or more, and where a new first word begins.
+
+    Words of ``WORD`` bytes (fewer below that ``length``) are sorted first, then pairs of ranks, of doubled
+    length. A key carries its place in its low bits, so that values are sorted, not places.
+    """
     n = len(codes)
-    looped = np.concatenate([codes, codes[: min(8, n)], np.zeros(8, np.uint8)])
-    key = np.ndarray(n, ">u8", looped, strides=(1,)).astype(np.uint64)
-    size = 8
+    if n > PLACE:
+        raise ValueError("a block holds at most 2 MB")
+    size = min(WORD, length)
+    bits, place = np.uint64(21), np.arange(n, dtype=np.uint64)
+    looped = np.resize(codes, n + 8)
+    key = np.ndarray(n, ">u8", looped, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * size)
+    words = None
     while True:
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if size >= length or new[-1] == n - 1:
-            return order
+        key = np.sort((key << bits) | place)
+        order = (key & PLACE).astype(np.int32)
+        key >>= bits
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        words = begins if words is None else words
+        if size >= length or begins.all():
+            return order, words
         rank = np.empty(n, np.uint64)
-        rank[order] = new
-        key = (rank << np.uint64(32)) | np.roll(rank, -size)
+        rank[order] = np.cumsum(begins, dtype=np.uint64) - np.uint64(1)
+        key = (rank << bits) | np.roll(rank, -size)
         size *= 2
 
 
-def open_ends(bwt: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def open_ends(bwt: np.ndarray, words: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether sorted suffix i shares ``length`` bytes or more with its predecessor.
 
-    Breadth-first backward extension of intervals (Beller, Gog, Ohlebusch and Schnattinger 2013): an
-    interval is extended by each byte of its part of the transform, all intervals of a level at once.
-    A byte's last occurrence in the interval gives the right end of the longer string's interval, its
-    first occurrence the left end. An interval goes on only where its right end was still open.
+    Breadth-first backward extension of intervals (Beller, Gog, Ohlebusch and Schnattinger 2013), from the
+    intervals of the first words on, which the sort has found: an interval is extended by each byte of its
+    part of the transform, all intervals of a level at once. A byte's last occurrence in the interval gives
+    the right end of the longer string's interval, its first occurrence the left end. An interval goes on
+    only where its right end was still open.
     """
     n = len(bwt)
-    by_byte = np.argsort(bwt, kind="stable")
-    to = np.empty(n, np.int64)
-    to[by_byte] = np.arange(n)
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    to = np.empty(n, np.int32)
+    to[by_byte] = np.arange(n, dtype=np.int32)
     same = bwt[by_byte][1:] == bwt[by_byte][:-1]
-    following, preceding = np.full(n, n), np.full(n, -1)
+    following, preceding = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     following[by_byte[:-1][same]] = by_byte[1:][same]
     preceding[by_byte[1:][same]] = by_byte[:-1][same]
-    still = np.ones(n + 1, bool)
-    still[[0, n]] = False
-    start, stop = np.array([0]), np.array([n])
-    for _ in range(length):
-        inside = _ranges(start, stop)
+    still = np.append(~words, False)
+    start = np.flatnonzero(words).astype(np.int32)
+    stop = np.append(start[1:], np.int32(n))
+    for _ in range(min(WORD, length), length):
         size = stop - start
+        skip = np.cumsum(size, dtype=np.int32) - size
+        inside = np.arange(size.sum(), dtype=np.int32) + np.repeat(start - skip, size)
         last = inside[following[inside] >= np.repeat(stop, size)]
         first = inside[preceding[inside] < np.repeat(start, size)]
-        start, stop = np.sort(to[first]), np.sort(to[last]) + 1
+        stop = np.sort(to[last]) + np.int32(1)
         new = still[stop]
-        start, stop = start[new], stop[new]
+        start, stop = np.sort(to[first])[new], stop[new]
         if not len(stop):
             break
         still[stop] = False
@@ -185,8 +200,8 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
     size = np.array([len(p) for p in parts])
     begins = np.cumsum(size + 1) - size - 1
     codes = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-    order = suffix_order(codes, length)
-    group = np.cumsum(~open_ends(codes[order - 1], length))
+    order, words = suffix_order(codes, length)
+    group = np.cumsum(~open_ends(codes[order - 1], words, length))
     of = np.empty(len(codes), np.int64)
     of[order] = group
     place = _ranges(begins, begins + size - length + 1)
@@ -354,8 +369,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             texts = _texts(batch)
             lo, start, n = (c.to_numpy() for c in batch.column(2).flatten().flatten())
             of = np.repeat(np.arange(len(texts)), pc.list_value_length(batch.column(2)).to_numpy())
-            base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
-            cover = np.zeros(base[-1] + 1, np.int32)
+            sizes = np.array([len(x) for x in texts])
+            base = np.concatenate([[0], np.cumsum(sizes + 1)])
             first = np.sort(lo + base[of])
             begins = [start[n > 0] + base[of[n > 0]]]
             many = [n[n > 0]]
@@ -366,16 +381,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 begins.append(whole[later])
                 many.append(windows[later])
             begins, many = np.concatenate(begins), np.concatenate(many)
-            np.add.at(cover, begins, 1)
-            np.add.at(cover, begins + many + length - 1, -1)
-            gone = np.cumsum(cover) > 0
-            out = []
-            for i, text in enumerate(texts):
-                mine = gone[base[i] : base[i] + len(text)]
-                removed = int(mine.sum())
-                spans = int(np.count_nonzero(np.diff(mine.view(np.int8), prepend=0) == 1))
-                out.append((len(text), removed, spans, np.frombuffer(text, np.uint8)[~mine].tobytes() if removed else text))
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in list(zip(*out))[:3]), pa.array([r[3] for r in out], pa.binary())]
+            by = np.argsort(begins, kind="stable")
+            begins = begins[by]
+            stops = np.maximum.accumulate(begins + many[by] + length - 1)
+            fresh = np.flatnonzero(np.concatenate([[True], begins[1:] > stops[:-1]])) if len(begins) else by
+            begins, stops = begins[fresh], stops[np.append(fresh[1:], len(stops)) - 1] if len(fresh) else begins
+            owner = np.searchsorted(base, begins, "right") - 1
+            removed = np.bincount(owner, stops - begins, len(texts)).astype(np.int64)
+            spans = np.bincount(owner, minlength=len(texts))
+            kept = list(texts)
+            at = np.concatenate([[0], np.cumsum(spans)])
+            for i in np.flatnonzero(spans):
+                cuts = zip([0, *(stops[at[i] : at[i + 1]] - base[i])], [*(begins[at[i] : at[i + 1]] - base[i]), sizes[i]])
+                kept[i] = b"".join([texts[i][a:b] for a, b in cuts])
+            columns = [batch.column(0), *(pa.array(c.astype(np.int64)) for c in (sizes, removed, spans)), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     none = F.array().cast("array<struct<lo:bigint,start:bigint,n:bigint>>")

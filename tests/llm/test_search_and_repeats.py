@@ -94,11 +94,11 @@ def test_interval_expansion(letters):
     base = bytes(rng.choices(letters, k=400))
     codes = np.frombuffer(base + bytes(rng.choices(letters, k=200)) + base[100:350] + b"\xff", np.uint8)
     for length in (1, 2, 7, 8, 9, 40, 130):
-        order = repeats.suffix_order(codes, length)
+        order, words = repeats.suffix_order(codes, length)
         loop = codes.tobytes() * 2
         names = [loop[i : i + length] for i in order]
         assert names == sorted(names)
-        same = repeats.open_ends(codes[order - 1], length)
+        same = repeats.open_ends(codes[order - 1], words, length)
         assert same.tolist() == [False, *(a == b for a, b in zip(names, names[1:]))]
 
 
