@@ -14,6 +14,7 @@ from loopweave.operators import annotation, contacts, tracks
 
 RES = 3600
 TRACKS = ["click", "error", "purchase", "signup", "view"]
+# The replication phases in order.
 PHASES = ["G1", "S1", "S2", "S3", "S4", "G2"]
 
 

@@ -150,13 +150,14 @@ def file_timing_wigs(spark, d):
 
 @query(
     "file_embedding",
-    "select vec_id::varchar as name, round(embedding[1]::double,6)+0.0 first, len(embedding)::bigint dim from embeddings",
+    """select vec_id::varchar as name, k, round(embedding[k+1]::double,6)+0.0 x
+    from (select vec_id, embedding, unnest(range(0,len(embedding))) k from embeddings)""",
 )
 def file_embedding(spark, d):
     path = scratch_path(spark, "embedding")
     wr.write_embedding(vectors(spark, d).select("idx", "vec"), path)
     out = rd.read_embedding(spark, path)
-    return out.select("name", r(F.col("vec")[0]).alias("first"), F.size("vec").cast("bigint").alias("dim"))
+    return out.select("name", F.posexplode("vec").alias("k", "x")).select("name", F.col("k").cast("bigint").alias("k"), r("x").alias("x"))
 
 
 @query(

@@ -114,3 +114,12 @@ def normalized_agreement(spark, d):
         regions(spark, d), known_labels(spark, d), arm_sizes(spark, d), RES, SHIFTS, compound=False
     )
     return rounded(out, "normalized", digits=4)
+
+
+@query(
+    "normalized_agreement_compound",
+    """select round((select agreement from c_agreement)/(select avg(agreement) from c_agreements_compound),4)+0.0 normalized""",
+)
+def normalized_agreement_compound(spark, d):
+    out = rs.normalized_agreement(regions(spark, d), known_labels(spark, d), arm_sizes(spark, d), RES, SHIFTS)
+    return rounded(out, "normalized", digits=4)

@@ -260,6 +260,25 @@ cte(
 )
 
 
+# Every shift on top of the ones before it, as the operator's default does.
+TOTALS = [" + ".join(f"floor(len*{s}::double)::bigint" for s in SHIFTS[: i + 1]) for i in range(len(SHIFTS))]
+cte(
+    "c_known_compound",
+    "select rep, chrom, arm, (arm_pos + shift) % len arm_pos, label from (select *, unnest([0,1,2])::bigint rep, unnest(["
+    + ", ".join(TOTALS)
+    + "]) shift from (select l.*, (a.size+3599)//3600 len from c_arm_known l join c_arms a using (chrom, arm)) where arm_pos < len)",
+)
+cte(
+    "c_agreements_compound",
+    REGION_ARMS.format(
+        rep="rep,", grp="group by rep",
+        src="""(select ra.*, unnest([0,1,2])::bigint rep from ra) ra left join
+        (select rep rp, chrom, arm, arm_pos, label from c_known_compound) l
+        on l.rp=ra.rep and l.chrom=ra.chrom and l.arm=ra.arm and l.arm_pos=ra.ap""",
+    ),
+)
+
+
 @query("region_agreement_shifted", "select rep, round(agreement,6)+0.0 agreement from c_agreements")
 def region_agreement_shifted(spark, d):
     arms = arm_sizes(spark, d)
@@ -522,15 +541,21 @@ MORAN = """with e as (select id1,id2,sum(weight) w from (select id1,id2,weight f
       (n*((n*n-3*n+3)*s1-n*s2+3*w*w)-s3*((n*n-n)*s1-2*n*s2+6*w*w))/((n-1)*(n-2)*(n-3)*w*w)-1/((n-1)*(n-1)) variance from q)"""
 
 
+# Upper tail of the normal distribution; fixed values of Abramowitz and Stegun 26.2.17 (error below 1e-7).
+TAIL = "exp(-z*z/2)/sqrt(2*pi())*t*(0.319381530+t*(-0.356563782+t*(1.781477937+t*(-1.821255978+t*1.330274429))))"
+
+
 @query(
     "morans_i",
-    MORAN + """ select round(moran,6)+0.0 moran, round(expected,6)+0.0 expected, round(variance,8)+0.0 variance,
-    round((moran-expected)/sqrt(variance),6)+0.0 z_score from z""",
+    MORAN + f""", zs as (select *, (moran-expected)/sqrt(variance) z_score from z),
+    tails as (select *, {TAIL} tail from (select *, 1/(1+0.2316419*z) t from (select *, abs(z_score) z from zs)))
+    select round(moran,6)+0.0 moran, round(expected,6)+0.0 expected, round(variance,8)+0.0 variance,
+    round(z_score,6)+0.0 z_score, round(case when z_score<0 then 1-tail else tail end,4)+0.0 p_value from tails""",
 )
 def morans_i(spark, d):
     values = nodes(spark, d).select("idx", F.col("price").alias("value"))
     out = ev.morans_i(values, both_directions(edges(spark, d)))
-    return rounded(rounded(out, "moran", "expected", "z_score"), "variance", digits=8).drop("p_value")
+    return rounded(rounded(rounded(out, "moran", "expected", "z_score"), "variance", digits=8), "p_value", digits=4)
 
 
 cte(

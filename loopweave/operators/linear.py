@@ -1,8 +1,9 @@
 """Regularised linear classification and regression.
 
-One pass over the data gives the objective and gradient of every class at once; Spark adds the
-per-partition sums and the driver takes a quasi-Newton step on weights of size
-classes x features, the same division of labour as the built-in linear estimators.
+Logistic models are Spark's own estimator, one against the rest. The dual machines are trained by
+coordinate ascent over row partitions (``dual``). For squared losses in the primal one pass over the
+data gives the objective and gradient of every class at once; Spark adds the per-partition sums and
+the driver takes a quasi-Newton step on weights of size classes x features.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -36,8 +39,8 @@ SOLVERS = {
 }
 REGRESSION = {11, 12, 13}
 PROBABILITY = {0, 6, 7}
-# Width over which the kink of a hinge is rounded off, relative to its unit slope.
-ROUNDING = 1e-4
+#: Solvers trained by dual coordinate ascent; the dual logistic model has the primal one's optimum.
+DUAL = {1, 3, 4, 12, 13}
 
 
 @dataclass(frozen=True)
@@ -84,21 +87,12 @@ def class_order(df: DataFrame, order: str | None = None) -> list[float]:
 
 
 def _loss(kind: str, z: np.ndarray, y: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
-    """Loss and its derivative by the decision value z."""
-    if kind == "logistic":
-        m = y * z
-        return np.logaddexp(0.0, -m), -y / (1.0 + np.exp(np.clip(m, -700, 700)))
-    if kind in ("squared_hinge", "hinge"):
+    """Squared loss and its derivative by the decision value z."""
+    if kind == "squared_hinge":
         t, slope = np.maximum(0.0, 1.0 - y * z), -y
     else:
         t, slope = np.maximum(0.0, np.abs(z - y) - p), np.sign(z - y)
-    if kind.startswith("squared"):
-        return t * t, 2.0 * t * slope
-    near = t < ROUNDING
-    return (
-        np.where(near, t * t / (2 * ROUNDING), t - ROUNDING / 2),
-        np.where(near, t / ROUNDING, 1.0) * slope,
-    )
+    return t * t, 2.0 * t * slope
 
 
 def _batch_terms(index, value, label, w, labels, kind, p, costs):
@@ -109,26 +103,12 @@ def _batch_terms(index, value, label, w, labels, kind, p, costs):
     vals = np.concatenate(value) if len(rows) else np.zeros(0)
     n, k = len(sizes), len(w)
     z = np.stack([np.bincount(rows, vals * w[j, cols], n) for j in range(k)], axis=1)
-    if kind == "multiclass_hinge":
-        own = np.array([labels.index(v) for v in label])
-        at = np.arange(n)
-        s = (z - z[at, own][:, None] + 1.0) / ROUNDING
-        s[at, own] = 0.0
-        top = s.max(axis=1, keepdims=True)
-        e = np.exp(s - top)
-        soft = e / e.sum(axis=1, keepdims=True)
-        loss = np.zeros((n, k))
-        loss[:, 0] = ROUNDING * (top[:, 0] + np.log(e.sum(axis=1)))
-        slope = soft
-        slope[at, own] -= 1.0
-        cost = costs[own][:, None]
+    if labels:
+        y = np.where(label[:, None] == np.array(labels)[None, :k], 1.0, -1.0)
+        cost = np.where(y > 0, costs[None, :k], 1.0 if k > 1 else costs[-1])
     else:
-        if labels:
-            y = np.where(label[:, None] == np.array(labels)[None, :k], 1.0, -1.0)
-            cost = np.where(y > 0, costs[None, :k], 1.0 if k > 1 else costs[-1])
-        else:
-            y, cost = label[:, None], 1.0
-        loss, slope = _loss(kind, z, y, p)
+        y, cost = label[:, None], 1.0
+    loss, slope = _loss(kind, z, y, p)
     slope = slope * cost
     grad = np.stack([np.bincount(cols, vals * slope[rows, j], w.shape[1]) for j in range(k)])
     return (loss * cost).sum(axis=0), grad
@@ -163,13 +143,12 @@ def _objective(data: DataFrame, labels, kind, penalty, params: LinearParams, sha
     return evaluate
 
 
-def _minimise(evaluate, shape, l1: bool, stop: np.ndarray, max_iter: int, joint: bool) -> np.ndarray:
+def _minimise(evaluate, shape, l1: bool, stop: np.ndarray, max_iter: int) -> np.ndarray:
     """Limited-memory quasi-Newton descent, every weight vector with its own history.
 
     With ``l1`` the steps stay in the orthant of the pseudo-gradient (Andrew and Gao, ICML 2007).
-    ``joint`` treats all vectors as one problem.
     """
-    rows = [slice(None)] if joint else [slice(j, j + 1) for j in range(shape[0])]
+    rows = [slice(j, j + 1) for j in range(shape[0])]
 
     def full(w, f):
         return f + np.abs(w).sum(axis=1) if l1 else f
@@ -261,6 +240,28 @@ def sparse_rows(df: DataFrame, bias: float = -1.0, features: str = "features", k
     return df.select(*keep, index.alias("index"), value.alias("value"))
 
 
+def _logistic(data: DataFrame, labels: list[float], k: int, params: LinearParams, width: int, l1: bool) -> np.ndarray:
+    """Weight vectors of Spark's logistic regression, each label (the first only, of two) against the rest.
+
+    Its loss is a weighted mean: a penalty of 1 over C times the summed weights makes the objectives equal.
+    """
+    as_vector = F.udf(lambda i, v: Vectors.sparse(width, sorted(zip(i, v))), VectorUDT())
+    rows = materialize(data.select("label", as_vector("index", "value").alias("features")))
+    out = []
+    for own in labels[:k]:
+        rest = 1.0 if k > 1 else params.class_weights.get(labels[-1], 1.0)
+        positive = F.col("label") == own
+        weight = F.when(positive, params.class_weights.get(own, 1.0)).otherwise(rest)
+        binary = rows.select(positive.cast("double").alias("label"), weight.alias("weight"), "features")
+        total = binary.agg(F.sum("weight")).first()[0]
+        fitted = LogisticRegression(
+            regParam=1.0 / (params.C * total), elasticNetParam=float(l1), fitIntercept=False, standardization=False,
+            tol=params.eps * 0.01, maxIter=params.max_iter, weightCol="weight",
+        ).fit(binary)
+        out.append(fitted.coefficients.toArray())
+    return np.stack(out)
+
+
 def train(
     df: DataFrame, params: LinearParams, features: int, labels: list[float] | None = None, order: str | None = None
 ) -> LinearModel:
@@ -270,18 +271,21 @@ def train(
         raise ValueError(wrong)
     bound_batches(df.sparkSession)
     name, kind, penalty = SOLVERS[params.solver]
+    if params.solver in DUAL:
+        from loopweave.operators.dual import fit_dual  # which builds on this module
+
+        return fit_dual(df, params, features, labels, order).model
     keep = ["label", "index", "value"]
     data = materialize(df.select(F.col("label").cast("double").alias("label"), "index", "value"))
     width = features + (1 if params.bias >= 0 else 0)
     if params.solver in REGRESSION:
         evaluate = _objective(data.select(*keep), [], kind, penalty, params, (1, width))
-        w = _minimise(evaluate, (1, width), False, np.array([params.eps]), params.max_iter, False)
+        w = _minimise(evaluate, (1, width), False, np.array([params.eps]), params.max_iter)
         return LinearModel(params.solver, [], w, features, params.bias)
     labels = labels or class_order(df, order)
     counts = {float(r.label): r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rows = sum(counts.values())
-    joint = kind == "multiclass_hinge"
-    k = len(labels) if len(labels) != 2 or joint else 1
+    k = len(labels) if len(labels) != 2 else 1
     # Rarer classes get a proportionally tighter tolerance.
     stop = np.array(
         [
@@ -289,10 +293,11 @@ def train(
             for v in labels[:k]
         ]
     )
-    if joint:
-        stop = np.array([params.eps])
+    if kind == "logistic":
+        w = _logistic(data, labels, k, params, width, penalty == "l1")
+        return LinearModel(params.solver, labels, w, features, params.bias)
     evaluate = _objective(data.select(*keep), labels, kind, penalty, params, (k, width))
-    w = _minimise(evaluate, (k, width), penalty == "l1", stop, params.max_iter, joint)
+    w = _minimise(evaluate, (k, width), penalty == "l1", stop, params.max_iter)
     return LinearModel(params.solver, labels, w, features, params.bias)
 
 
