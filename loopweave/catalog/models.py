@@ -156,8 +156,11 @@ PSI = "select * from (values {}) t(a,b,w)".format(
 PHI = f"select idx, k, -((idx*13+k*29)%11)::double/5 f from c_nodes, (select unnest(range({K})) k)"
 
 
-def beliefs_sql(rounds: int = 100, links: str = "c_graph", psi: str = PSI, phi: str = PHI, head: str = "", tol: float = 1e-2) -> str:
-    """Table ``b`` (idx, k, b) of the first round whose mean moves by less than ``tol``, else of the last."""
+def beliefs_sql(rounds: int = 20, links: str = "c_graph", psi: str = PSI, phi: str = PHI, head: str = "", tol: float = 1e-2) -> str:
+    """Table ``b`` (idx, k, b) of the first round whose mean moves by less than ``tol``, else of the last.
+
+    The operator may take 100 rounds; about ten are enough here, so the SQL stops at ``rounds``.
+    """
     steps = [
         f"psi as materialized ({psi})",
         f"phi as materialized ({phi})",

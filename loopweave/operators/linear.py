@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,8 @@ SOLVERS = {
 }
 REGRESSION = {11, 12, 13}
 PROBABILITY = {0, 6, 7}
+#: Logistic models that Spark fits at a time.
+FITS = 8
 #: Solvers trained by dual coordinate ascent; the dual logistic model has the primal one's optimum.
 DUAL = {1, 3, 4, 12, 13}
 
@@ -247,19 +250,21 @@ def _logistic(data: DataFrame, labels: list[float], k: int, params: LinearParams
     """
     as_vector = F.udf(lambda i, v: Vectors.sparse(width, sorted(zip(i, v))), VectorUDT())
     rows = materialize(data.select("label", as_vector("index", "value").alias("features")))
-    out = []
-    for own in labels[:k]:
+
+    def fitted(own: float) -> np.ndarray:
         rest = 1.0 if k > 1 else params.class_weights.get(labels[-1], 1.0)
         positive = F.col("label") == own
         weight = F.when(positive, params.class_weights.get(own, 1.0)).otherwise(rest)
         binary = rows.select(positive.cast("double").alias("label"), weight.alias("weight"), "features")
         total = binary.agg(F.sum("weight")).first()[0]
-        fitted = LogisticRegression(
+        estimator = LogisticRegression(
             regParam=1.0 / (params.C * total), elasticNetParam=float(l1), fitIntercept=False, standardization=False,
             tol=params.eps * 0.01, maxIter=params.max_iter, weightCol="weight",
-        ).fit(binary)
-        out.append(fitted.coefficients.toArray())
-    return np.stack(out)
+        )
+        return estimator.fit(binary).coefficients.toArray()
+
+    with ThreadPoolExecutor(min(k, FITS)) as pool:
+        return np.stack(list(pool.map(fitted, labels[:k])))
 
 
 def train(
