@@ -159,7 +159,7 @@ PHI = f"select idx, k, -((idx*13+k*29)%11)::double/5 f from c_nodes, (select unn
 def beliefs_sql(rounds: int = 20, links: str = "c_graph", psi: str = PSI, phi: str = PHI, head: str = "", tol: float = 1e-2) -> str:
     """Table ``b`` (idx, k, b) of the first round whose mean moves by less than ``tol``, else of the last.
 
-    The operator may take 100 rounds; about ten are enough here, so the SQL stops at ``rounds``.
+    The operator may take 100 rounds; about ten are enough on the contact graphs, so the SQL stops at ``rounds``.
     """
     steps = [
         f"psi as materialized ({psi})",
@@ -255,7 +255,7 @@ FIELD_PHI = " union all ".join(
 
 @query(
     "random_field_step",
-    beliefs_sql(links="lk", psi="select a, b, ln(n)-ln(sum(n) over ()) w from cells", phi=FIELD_PHI, head=FIELD)
+    beliefs_sql(100, links="lk", psi="select a, b, ln(n)-ln(sum(n) over ()) w from cells", phi=FIELD_PHI, head=FIELD)
     + f""", lab as (select idx, k from (select idx, k, row_number() over (partition by idx order by b desc, k) i from b) where i=1),
     sc as (select phi.idx, phi.k, any_value(phi.f)+coalesce(sum(psi.w),0) v from phi left join lk on lk.id1=phi.idx
       left join lab on lab.idx=lk.id2 left join psi on psi.a=lab.k and psi.b=phi.k group by phi.idx, phi.k),
