@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.session import materialize, scratch_path
@@ -32,6 +32,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with its columns of these names (in any case) renamed, and the way back to its own columns.
+
+    An operator that needs the names for columns of its own works on the first and hands its rows to the
+    second, which picks the columns of ``df`` in their order under their old names, and ``more`` behind them.
+    Without such columns the first is ``df`` as it is.
+    """
+    taken = {n.lower() for n in names}
+    used = taken | {c.lower() for c in df.columns}
+    other = {}
+    for c in df.columns:
+        if c.lower() in taken:
+            n = 1
+            while f"{c}_{n}".lower() in used:
+                n += 1
+            other[c] = f"{c}_{n}"
+            used.add(other[c].lower())
+    quoted = ["`" + other.get(c, c).replace("`", "``") + "`" for c in df.columns]
+    own = df.columns
+
+    def back(out: DataFrame, *more: Column | str) -> DataFrame:
+        return out.select(*[F.col(q).alias(c) for q, c in zip(quoted, own)], *more)
+
+    return (df.withColumnsRenamed(other) if other else df), back
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 1 << 16
 ) -> Iterator[pa.RecordBatch]:
@@ -102,4 +128,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-__all__ = ["Bloom", "bound_batches", "MIX", "materialize", "mix64", "slices", "stored", "table"]
+__all__ = ["Bloom", "bound_batches", "MIX", "materialize", "mix64", "set_aside", "slices", "stored", "table"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from loopweave.llm.common import slices, stored
+from loopweave.llm.common import set_aside, slices, stored
 
 WINDOW = 10
 GROUP_WORDS = 1 << 20
@@ -222,7 +222,10 @@ def _marked_by_all_but_last(docs: DataFrame, groups: list, window: int) -> DataF
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
-    """``docs`` with n_words, hit_words and hit_items against every row of ``items(item_id, text)``."""
+    """``docs`` with n_words, hit_words and hit_items against every row of ``items(item_id, text)``.
+
+    Columns of ``docs`` with these names give way.
+    """
     groups = item_groups(items, group_words)
     return mark_hits(_marked_by_all_but_last(docs, groups, window), groups[-1], window)
 
@@ -248,8 +251,10 @@ def remove_contamination(
 
     From the text goes, for every run of neighbouring hit words, all from its first to its last
     character and the separators up to the next word. Clean rows stay as they are, character for
-    character. ``n_chars``, where present, is counted anew for texts that were cut.
+    character. ``n_chars``, where present, is counted anew for texts that were cut. All other columns
+    come out as they were, whatever their names.
     """
+    docs, own = set_aside(docs, *ADDED)
     groups = item_groups(items, group_words)
     marked = _marked_by_all_but_last(docs, groups, window)
     shared = docs.sparkSession.sparkContext.broadcast(groups[-1])
@@ -272,4 +277,4 @@ def remove_contamination(
                 arrays[at_size] = pa.array(fresh).cast(old.type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(kept)
 
-    return used.mapInArrow(run, docs.select(*columns).schema)
+    return own(used.mapInArrow(run, docs.select(*columns).schema))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.llm.common import Bloom, mix64, slices, stored
+from loopweave.llm.common import Bloom, mix64, set_aside, slices, stored
 from loopweave.llm.components import components
 
 MINIMA = 4
@@ -391,7 +391,9 @@ def keep_one(docs: DataFrame, k: int = 5, top: int = 8, bottom: int = 10) -> Dat
 
     Rows with an empty set all stay. Only rows whose doc_id is met in a Bloom filter of the ids to
     look at (dropped or repeated ones) are shuffled, with their texts; all others pass straight.
+    All columns of ``docs`` come out as they were, whatever their names.
     """
+    docs, own = set_aside(docs, "_key", "_look", "_id", "_gone")
     ratio, columns = Ratio(top, bottom), docs.columns
     rows = stored(_classified(_plain(docs), k, ratio), "classified")
     dropped = rows.filter(~F.col("kept")).select("doc_id", "key").distinct()
@@ -420,4 +422,4 @@ def keep_one(docs: DataFrame, k: int = 5, top: int = 8, bottom: int = 10) -> Dat
     gone = dropped.select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_gone"))
     checked = marked.filter("_look").join(gone, same, "left_anti").dropDuplicates(["doc_id", "_key"])
-    return marked.filter("not _look").select(*columns).union(checked.select(*columns))
+    return own(marked.filter("not _look").select(*columns).union(checked.select(*columns)))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopweave.llm.common import mix64, slices, stored
+from loopweave.llm.common import mix64, set_aside, slices, stored
 
 ORDER = 5
 #: Bytes of URLs in a task, in a chunk (one URL at least), and worked on at once.
@@ -221,8 +221,9 @@ def scored_chunks(chunks: DataFrame, models: UrlModels) -> DataFrame:
 
 
 def scored(urls: DataFrame, models: UrlModels) -> DataFrame:
-    """``urls`` with lm_score of the column ``text``."""
-    return scored_chunks(chunked(urls.select(*(c for c in urls.columns if c != "lm_score"))), models)
+    """``urls`` with lm_score of the column ``text``; a column of that name gives way, all others stay as they were."""
+    aside, own = set_aside(urls.drop("lm_score"), "_chunk")
+    return own(scored_chunks(chunked(aside), models), "lm_score")
 
 
 def calibrated(urls: DataFrame, models: UrlModels) -> UrlModels:
