@@ -1,6 +1,12 @@
-"""Linear machines trained in the dual: one variable per row and class, coordinate ascent inside parts.
+"""Linear machines trained in the dual: one variable per row and class.
 
-Rows are dealt into parts of about ``part_rows`` and laid out once by part; the dual variables lie
+Of the machines with one variable per row and weight vector (all but the joint one), those whose second
+derivatives fit (``MOST_CURVATURE``) are trained by the augmented Lagrangian method with semismooth Newton
+steps (Li, Sun and Toh, SIAM J. Optimization 2018). The variables of a row follow from the primal vectors
+of the outer steps, so that nothing is stored for a row, and a pass over the rows sums values, gradients
+and second derivatives in batches. The number of passes does not grow with the rows or their parts.
+
+The joint machine and wide ones are trained by coordinate ascent inside parts. Rows are dealt into parts of about ``part_rows`` and laid out once by part; the dual variables lie
 beside them in the same layout, so that a round shuffles neither. In a round every part makes a few
 passes of exact coordinate steps over its own variables, skipping rows that have settled at a bound,
 and sends how far it moved the primal vectors; the moves of all parts are summed and added. Parts
@@ -31,6 +37,12 @@ from loopweave.session import bound_batches
 PART_ROWS = 1 << 13
 #: Passes over a part in one round.
 PASSES = 20
+#: Second derivatives, vectors x weights x weights, that every task sums and the driver solves.
+MOST_CURVATURE = 1 << 22
+#: Lengths of a Newton step that one pass tries.
+LENGTHS = 0.5 ** np.arange(12)
+#: How often an outer step may ask for an inner one.
+MOST_INNER = 50
 #: Primal vectors are held by every task: classes x features at most.
 MOST_WEIGHTS = 1 << 24
 STATE = "part bigint, kind string, row bigint, v array<double>"
@@ -208,6 +220,9 @@ def fit_dual(
     width = features + (1 if params.bias >= 0 else 0)
     if vectors * width > MOST_WEIGHTS:
         raise ValueError(f"{vectors} weight vectors of {width} features are more than a task may hold ({MOST_WEIGHTS} weights)")
+    if kind != "multiclass_hinge" and vectors * width * width <= MOST_CURVATURE and part_rows == PART_ROWS:
+        task = _Task(kind, tuple(labels), vectors, params.C, dict(params.class_weights), params.p, 1, passes)
+        return _newton(data, task, params, labels, features, width)
     parts = max(1, -(-data.count() // part_rows))
     task = _Task(kind, tuple(labels), vectors, params.C, dict(params.class_weights), params.p, parts, passes)
     dealt = data.select(F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"), "row", "label", "index", "value")
@@ -261,6 +276,156 @@ def fit_dual(
     return DualFit(model, duals, data, gap, primal, count)
 
 
+@dataclass(frozen=True)
+class _Outer:
+    """Primal vectors after an outer step, and how near to the variables before it its own were kept (1 / sigma)."""
+
+    w: np.ndarray
+    near: float
+
+
+def _variables(task: _Task, z, y, upper, curve, alpha, near):
+    """The variables that an outer step gives at decision values ``z``, their terms of its value, and their slopes."""
+    gap = y - z if not task.labels else 1.0 - y * z
+    tube = 0.0 if task.labels else task.tube
+    q = curve + near
+    free = gap + near * alpha
+    free = np.sign(free) * np.maximum(np.abs(free) - tube, 0.0) / q
+    now = np.clip(free, 0.0 if task.labels else -upper, upper)
+    value = now * gap - tube * np.abs(now) - 0.5 * curve * now * now - 0.5 * near * (now - alpha) ** 2
+    return now, value, np.where((now == free) & (now != 0.0), 1.0 / q, 0.0)
+
+
+def _decisions(index, value, w: np.ndarray):
+    """Row numbers, features and values of a batch's entries and its decision values, one column per vector."""
+    sizes = np.array([len(i) for i in index])
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    cols = np.concatenate(index).astype(int) if len(at) else np.zeros(0, int)
+    vals = np.concatenate(value).astype(float) if len(at) else np.zeros(0)
+    z = np.stack([np.bincount(at, vals * v[cols], len(sizes)) for v in w], axis=1)
+    return at, cols, vals, z
+
+
+def _before(task: _Task, index, value, label, past: list[_Outer]):
+    """Targets of a batch and the variables after all outer steps of ``past``, which follow from their vectors."""
+    y, upper, curve = task.targets(label)
+    alpha = np.zeros((len(label), task.vectors))
+    for step in past:
+        alpha = _variables(task, _decisions(index, value, step.w)[3], y, upper, curve, alpha, step.near)[0]
+    return y, upper, curve, alpha
+
+
+def _newton(data: DataFrame, task: _Task, params: LinearParams, labels, features: int, width: int) -> DualFit:
+    """Outer steps keep the variables near the ones before by 1 / sigma, which shrinks; inner ones are Newton's."""
+    spark, k = data.sparkSession, task.vectors
+    rows = data.select("row", "label", "index", "value")
+    schema = "kind string, at bigint, v array<double>"
+
+    def sums(job) -> dict[str, np.ndarray]:
+        """``job`` of every batch, a dict of arrays, summed over all batches."""
+
+        def batches(parts):
+            total: dict[str, np.ndarray] = {}
+            for own in parts:
+                index, value = [np.asarray(i, int) for i in own["index"]], list(own["value"])
+                for name, x in job(index, value, own["label"].to_numpy(float)).items():
+                    total[name] = total[name] + x if name in total else x
+            lines = [(name, i, line) for name, x in total.items() for i, line in enumerate(x.reshape(len(x), -1))]
+            if lines:
+                kinds, at, v = zip(*lines)
+                yield pd.DataFrame({"kind": kinds, "at": at, "v": [list(x) for x in v]})
+
+        found: dict[tuple[str, int], np.ndarray] = {}
+        for row in rows.mapInPandas(batches, schema).toLocalIterator():
+            key = row.kind, row.at
+            found[key] = found.get(key, 0.0) + np.array(row.v)
+        names = {name for name, _ in found}
+        return {n: np.stack([found[n, i] for i in range(sum(m == n for m, _ in found))]) for n in names}
+
+    def look(w, move, past, near):
+        """Along ``w + t move``: values per length and vector, and at t = 1 gradient and second derivatives."""
+        sent = spark.sparkContext.broadcast((w, move, past))
+
+        def job(index, value, label):
+            w, move, past = sent.value
+            y, upper, curve, alpha = _before(task, index, value, label, past)
+            at, cols, vals, z = _decisions(index, value, w)
+            step = _decisions(index, value, move)[3]
+            out = {"value": np.stack([_variables(task, z + t * step, y, upper, curve, alpha, near)[1].sum(axis=0) for t in LENGTHS])}
+            now, _, bend = _variables(task, z + step, y, upper, curve, alpha, near)
+            pull = now * y if task.labels else now
+            out["pull"] = np.stack([np.bincount(cols, vals * pull[at, j], width) for j in range(k)])
+            dense = np.zeros((len(label), width))
+            np.add.at(dense, (at, cols), vals)
+            out["bend"] = np.stack([(dense[bend[:, j] > 0].T * bend[bend[:, j] > 0, j]) @ dense[bend[:, j] > 0] for j in range(k)])
+            return out
+
+        got = sums(job)
+        sent.unpersist()
+        along = w[None] + LENGTHS[:, None, None] * move[None]
+        values = got["value"] + 0.5 * (along * along).sum(axis=2)
+        end = w + move
+        return values, end - got["pull"], got["bend"].reshape(k, width, width) + np.eye(width), got["pull"]
+
+    def measure(w, past):
+        """Duality gap and primal value of the vectors that the variables after ``past`` add up to."""
+        sent = spark.sparkContext.broadcast((w, past))
+
+        def job(index, value, label):
+            w, past = sent.value
+            y, upper, curve, alpha = _before(task, index, value, label, past)
+            loss, gain = _values(task, [i for i in index], [np.asarray(v, float) for v in value], label, y, upper, curve, alpha, w)
+            return {"loss": loss[:, None], "gain": gain[:, None]}
+
+        got = sums(job)
+        half = 0.5 * (w * w).sum(axis=1)
+        return 2 * half + got["loss"][:, 0] - got["gain"][:, 0], half + got["loss"][:, 0]
+
+    squared = task.kind.startswith("squared")
+    w, past = np.zeros((k, width)), []
+    near = 0.0 if squared else 1.0 / params.C
+    passes = 0
+    while True:
+        values, slope, bend, pull = look(w, np.zeros_like(w), past, near)
+        passes += 1
+        here = values[-1]
+        for _ in range(MOST_INNER):
+            move = -np.stack([np.linalg.solve(b, s) for b, s in zip(bend, slope)])
+            fall = (slope * move).sum(axis=1)
+            if (-fall <= 1e-12 * params.eps * np.maximum(np.abs(here), 1e-12)).all() or passes >= params.max_iter:
+                break
+            values, slope, bend, pull = look(w, move, past, near)
+            passes += 1
+            good = values <= here + 1e-4 * LENGTHS[:, None] * fall + 1e-14 * np.abs(here)
+            taken = np.where(good.any(axis=0), good.argmax(axis=0), len(LENGTHS) - 1)
+            if (taken == 0).all():
+                w, here = w + move, values[0]
+                continue
+            w = w + LENGTHS[taken][:, None] * move
+            values, slope, bend, pull = look(w, np.zeros_like(w), past, near)
+            passes += 1
+            here = values[-1]
+        past = [*past, _Outer(w, near)]
+        gap, primal = measure(pull, past)
+        passes += 1
+        done = (gap <= params.eps * np.maximum(primal, 1e-12)).all() and near * params.C <= 1e-3
+        if done or squared or passes >= params.max_iter:
+            break
+        near /= 10.0
+    if not (gap <= params.eps * np.maximum(primal, 1e-12)).all():
+        warnings.warn(f"duality gaps are {gap.tolist()} after {passes} passes: raise max_iter or eps", RuntimeWarning, stacklevel=3)
+    sent = spark.sparkContext.broadcast(past)
+
+    def last(parts):
+        for own in parts:
+            index, value = [np.asarray(i, int) for i in own["index"]], list(own["value"])
+            alpha = _before(task, index, value, own["label"].to_numpy(float), sent.value)[3]
+            yield pd.DataFrame({"row": own["row"], "alpha": [list(a) for a in alpha]})
+
+    duals = rows.mapInPandas(last, "row bigint, alpha array<double>")
+    return DualFit(LinearModel(params.solver, list(labels), pull, features, params.bias), duals, data, gap, primal, passes)
+
+
 def violations(fit: DualFit, params: LinearParams, near: float) -> DataFrame:
     """label, n, violated: rows whose variables break the optimality conditions by more than ``near``.
 
