@@ -130,11 +130,89 @@ def region_label(
     )
 
 
-def interval_label(df: DataFrame, labels: DataFrame, resolution: int, which: str) -> DataFrame:
+#: Bins of a row of ``label_rows``; the row holds as many again of the following one.
+ROW_BINS = 32
+
+
+def label_rows(labels: DataFrame, by: Sequence[str] = (), bins: int = ROW_BINS) -> DataFrame:
+    """chrom, _row, _labels and ``by``: the labels of bins [_row * bins, (_row + 2) * bins) as one array.
+
+    An interval of up to ``bins`` + 1 bins lies whole in the row of its first bin, so that its labels
+    are counted where it is joined and no row per covered bin is shuffled.
+    """
+    here = block_of(F.col("pos"), bins)
+    at = (F.col("pos") - F.col("_row") * bins).cast("int")
+    spread = labels.select("chrom", "pos", "label", *by, F.explode(F.array(here, here - 1)).alias("_row"))
+    met = spread.groupBy("chrom", "_row", *by).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), "label"))).alias("_met")
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.lit(2 * bins - 1)), lambda i: F.col("_met")[i])
+    return met.select("chrom", "_row", *by, dense.alias("_labels"))
+
+
+def row_fits(resolution: int, which: str = "", bins: int = ROW_BINS) -> Column:
+    """Whether the interval start/end<which> lies whole in one row of ``label_rows``; one without bases does."""
+    first, last = F.expr(f"start{which} div {resolution}"), F.expr(f"(`end{which}` - 1) div {resolution}")
+    return F.coalesce((F.col(f"end{which}") <= F.col(f"start{which}")) | (last - first <= bins), F.lit(True))
+
+
+def row_of(resolution: int, which: str = "", bins: int = ROW_BINS) -> Column:
+    return block_of(F.expr(f"start{which} div {resolution}"), bins)
+
+
+def labels_inside(resolution: int, which: str = "", bins: int = ROW_BINS, found: Column | None = None) -> Column:
+    """The labels (NULL = none) of the bins of a fitting interval joined with its row of labels."""
+    first, last = F.expr(f"start{which} div {resolution}"), F.expr(f"(`end{which}` - 1) div {resolution}")
+    n = (last - first + 1).cast("int")
+    own = F.slice(found if found is not None else F.col("_labels"), F.pmod(first, F.lit(bins)).cast("int") + 1, n)
+    none = F.array_repeat(F.lit(None), n)
+    return F.when(F.col(f"end{which}") > F.col(f"start{which}"), F.coalesce(own, none))
+
+
+def heaviest_inside(resolution: int, which: str = "", inside: str = "_inside") -> Column:
+    """label, weight of the label covering most bases of an interval; ties go to the lowest bin."""
+    start, end = F.col(f"start{which}"), F.col(f"end{which}")
+    labels = F.col(inside)
+    before = start % resolution  # bases of the first bin that lie outside
+    after = (F.expr(f"(`end{which}` - 1) div {resolution}") + 1) * resolution - end
+
+    def scored(label: Column, place: Column) -> Column:
+        bins = F.size(F.filter(labels, lambda x: x.eqNullSafe(label))).cast("bigint")
+        weight = (
+            bins * resolution
+            - F.when(F.element_at(labels, 1).eqNullSafe(label), before).otherwise(0)
+            - F.when(F.element_at(labels, -1).eqNullSafe(label), after).otherwise(0)
+        )
+        return F.struct((-weight).alias("light"), place.alias("place"), label.alias("label"))
+
+    best = F.array_min(F.transform(F.array_distinct(labels), scored))
+    return F.struct(best["label"].alias("label"), (-best["light"]).alias("weight"))
+
+
+def interval_label(
+    df: DataFrame, labels: DataFrame, resolution: int, which: str, longer: bool | None = None
+) -> DataFrame:
     """Label of the interval chrom/start/end<which> of each row, added as ``label<which>``.
 
-    Equal intervals are looked up once, so repeated ones do not multiply the work.
+    Intervals that fit a row of labels are looked up by one join; ``longer`` says whether there are
+    others, which are found out if it is None.
     """
+    fits = row_fits(resolution, which)
+    if longer is None:
+        longer = bool(df.filter(~fits).limit(1).count())
+    short = df.filter(fits) if longer else df
+    rows = label_rows(labels).withColumnRenamed("chrom", f"chrom{which}")
+    out = (
+        short.withColumn("_row", row_of(resolution, which))
+        .join(rows, [f"chrom{which}", "_row"], "left")
+        .withColumn("_inside", labels_inside(resolution, which))
+        .select(*df.columns, heaviest_inside(resolution, which)["label"].alias(f"label{which}"))
+    )
+    return out.unionByName(_long_interval_label(df.filter(~fits), labels, resolution, which)) if longer else out
+
+
+def _long_interval_label(df: DataFrame, labels: DataFrame, resolution: int, which: str) -> DataFrame:
+    """As ``interval_label`` for intervals of any length; equal ones are looked up once."""
     cols = [f"chrom{which}", f"start{which}", f"end{which}"]
     distinct = df.select(*[F.col(c).alias(c[: -len(which)]) for c in cols]).distinct()
     keyed = distinct.withColumn("region_id", F.struct("chrom", "start", "end"))

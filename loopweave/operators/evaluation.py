@@ -11,10 +11,15 @@ from loopweave.functions.tails import binomial_upper_tail, normal_upper_tail
 from loopweave.operators.annotation import (
     arm_position,
     covered_bins,
+    heaviest_inside,
     heaviest_label,
     interval_label,
+    label_rows,
+    labels_inside,
     point_label,
     region_label,
+    row_fits,
+    row_of,
 )
 from loopweave.session import materialize
 
@@ -118,10 +123,66 @@ def region_agreement(
     """Mean share of the commonest label over the regions (none competes).
 
     A region counts if its commonest label is a label and more than ``least_bins`` bins of it
-    are labelled.
+    are labelled. Regions that fit a row of labels are scored where they are joined with it, those of
+    more bins or of a repeated ``region_id`` bin by bin.
     """
+    regions = regions.select("region_id", "chrom", "start", "end")
+    fits = row_fits(resolution)
+    odd = materialize(
+        regions.groupBy("region_id").agg(F.count("*").alias("n"), F.max(~fits).alias("longer")).filter("n > 1 or longer").select("region_id")
+    )
+    if not odd.limit(1).count():
+        kept = _short_regions(regions, by_arm, arms, resolution, reps, versions)
+    else:
+        # A null region_id is one region of its own, as in a group.
+        some = regions.join(odd.withColumn("_odd", F.lit(True)), regions["region_id"].eqNullSafe(odd["region_id"]), "left").select(
+            *[regions[c] for c in regions.columns], F.col("_odd").isNotNull().alias("_odd")
+        )
+        kept = _short_regions(some.filter(~F.col("_odd")).drop("_odd"), by_arm, arms, resolution, reps, versions).unionByName(
+            _any_regions(some.filter("_odd").drop("_odd"), by_arm, arms, resolution, reps, versions)
+        )
+    counted = kept.filter(F.col("label").isNotNull() & (F.col("labelled") / resolution > least_bins))
+    return counted.groupBy(*reps).agg(F.avg(F.col("weight") / F.col("all")).alias("agreement"))
+
+
+def _short_regions(regions, by_arm, arms, resolution, reps, versions) -> DataFrame:
+    """reps, label, weight, all, labelled of every region, all of them in one row of ``label_rows``."""
+    p_size = arms.filter("arm = 'p'").select("chrom", F.col("size").alias("_p"))
+    first_q = F.ceil(F.col("_p") / resolution)
+    # Where arm positions lie on the chromosome; what lies beyond its arm is never met.
+    placed = (
+        by_arm.join(p_size, "chrom")
+        .filter(((F.col("arm") == "p") & (F.col("arm_pos") < first_q)) | ((F.col("arm") == "q") & (F.col("arm_pos") >= 0)))
+        .select("chrom", *reps, F.when(F.col("arm") == "p", F.col("arm_pos")).otherwise(F.col("arm_pos") + first_q).alias("pos"), "label")
+    )
+    rows = label_rows(placed, reps)
+    if reps:
+        rows = rows.groupBy("chrom", "_row").agg(F.map_from_entries(F.collect_list(F.struct(reps[0], "_labels"))).alias("_labels"))
+    joined = regions.filter(F.col("end") > F.col("start")).join(p_size, "chrom").withColumn("_row", row_of(resolution)).join(rows, ["chrom", "_row"], "left")
+    found = F.col("_labels")
+    if reps:
+        joined = joined.withColumn(reps[0], F.explode(F.array(*[F.lit(v).cast("bigint") for v in versions])))
+        found = found[F.col(reps[0])]
+    inside = joined.withColumn("_inside", labels_inside(resolution, found=found))
+    # The bin that straddles the centromere belongs to the other arm for a region that starts in it beyond.
+    beyond = (F.col("start") >= F.col("_p")) & (F.expr(f"start div {resolution}") < first_q)
+    none = F.array(F.lit(None))
+    cut = inside.withColumn("_inside", F.when(beyond, F.concat(none, F.expr("slice(_inside, 2, size(_inside))"))).otherwise(F.col("_inside")))
+    every = F.col("end") - F.col("start")
+    bare = (
+        F.size(F.filter("_inside", lambda x: x.isNull())).cast("bigint") * resolution
+        - F.when(F.element_at("_inside", 1).isNull(), F.col("start") % resolution).otherwise(0)
+        - F.when(F.element_at("_inside", -1).isNull(), (F.expr(f"(`end` - 1) div {resolution}") + 1) * resolution - F.col("end")).otherwise(0)
+    )
+    return cut.select(
+        *reps, heaviest_inside(resolution).alias("_top"), every.alias("all"), (every - bare).alias("labelled")
+    ).select(*reps, "_top.label", "_top.weight", "all", F.when(F.col("labelled") > 0, F.col("labelled")).alias("labelled"))
+
+
+def _any_regions(regions, by_arm, arms, resolution, reps, versions) -> DataFrame:
+    """As ``_short_regions`` for regions of any length and repeated ids, by a row for every covered bin."""
     pieces = arm_position(
-        covered_bins(regions.select("region_id", "chrom", "start", "end"), resolution).withColumn(
+        covered_bins(regions, resolution).withColumn(
             "_at", F.greatest(F.col("start"), F.col("pos") * resolution)
         ),
         arms,
@@ -142,10 +203,7 @@ def region_agreement(
         F.sum("weight").alias("all"),
         F.sum(F.when(F.col("label").isNotNull(), F.col("weight"))).alias("labelled"),
     )
-    kept = best.filter(
-        F.col("top.label").isNotNull() & (F.col("labelled") / resolution > least_bins)
-    )
-    return kept.groupBy(*reps).agg(F.avg(F.col("top.weight") / F.col("all")).alias("agreement"))
+    return best.select(*reps, "top.label", "top.weight", "all", "labelled")
 
 
 def gene_labels(genes: DataFrame, labels: DataFrame, resolution: int) -> DataFrame:
@@ -243,8 +301,9 @@ def contingency(df: DataFrame, weight: str | None = None, keys: Sequence[str] =
 
 def paired_labels(pairs: DataFrame, labels: DataFrame, resolution: int) -> DataFrame:
     """Adds label1 and label2, the commonest label of each end of every paired region."""
-    once = interval_label(pairs, labels, resolution, "1")
-    return interval_label(once, labels, resolution, "2")
+    longer = pairs.agg(*[F.max(~row_fits(resolution, end)).alias(end) for end in "12"]).first()
+    once = interval_label(pairs, labels, resolution, "1", bool(longer["1"]))
+    return interval_label(once, labels, resolution, "2", bool(longer["2"]))
 
 
 def binned_pair_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
