@@ -291,7 +291,7 @@ def _parts(rows: DataFrame, step: int, length: int) -> DataFrame:
 
 
 def _expand(rows: DataFrame, length: int) -> DataFrame:
-    """d, t, lo, start, n: the repeated windows of classes that share their anchor with others."""
+    """d, t, lo, start, n: the repeated windows of classes that share their anchor with others; ``rows`` lie dealt by h."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -321,13 +321,14 @@ def _expand(rows: DataFrame, length: int) -> DataFrame:
             yield from judged()
 
     columns = rows.select("h", "d", "t", "anchor", "lo", "n", "part")
-    return columns.repartition("h").sortWithinPartitions("h").mapInArrow(judge, JUDGED)
+    return columns.sortWithinPartitions("h").mapInArrow(judge, JUDGED)
 
 
 def _judge(found: DataFrame, steps: tuple[int, ...], hot: int, length: int) -> DataFrame:
     """d, t, lo, start, n: the repeated windows of the first places of all classes ``found`` (a stored table)."""
     many = found.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
-    shared = found.join(many, "h")
+    # Dealt before the join, which keeps that layout: segments are shuffled once.
+    shared = found.repartition("h").join(many, "h")
     if not steps or not many.filter(F.col("classes") > hot).limit(1).count():
         return _expand(shared, length)
     parts = stored(_parts(shared.filter(F.col("classes") > hot), steps[0], length), "repeat-parts")
