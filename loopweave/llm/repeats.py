@@ -324,11 +324,23 @@ def _expand(rows: DataFrame, length: int) -> DataFrame:
     return columns.sortWithinPartitions("h").mapInArrow(judge, JUDGED)
 
 
+def _likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The classes whose h is among ``keys``, by a Bloom filter: few others stay."""
+    words = rows.sparkSession.sparkContext.broadcast(Bloom.gather(keys, "h", Bloom.size_for(keys.count())).words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bloom(words.value)
+        for batch in batches:
+            yield batch.filter(pa.array(known.holds(batch.column(0).to_numpy())))
+
+    return rows.select("h", "k", "d", "t", "anchor", "lo", "n", "part").mapInArrow(keep, CLASS)
+
+
 def _judge(found: DataFrame, steps: tuple[int, ...], hot: int, length: int) -> DataFrame:
     """d, t, lo, start, n: the repeated windows of the first places of all classes ``found`` (a stored table)."""
-    many = found.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1")
-    # Dealt before the join, which keeps that layout: segments are shuffled once.
-    shared = found.repartition("h").join(many, "h")
+    many = stored(found.groupBy("h").agg(F.count("*").alias("classes")).filter("classes > 1"), "repeat-shared")
+    # Dealt before the join, which keeps that layout: segments are shuffled once, without those of lone classes.
+    shared = _likely(found, many).repartition("h").join(many, "h")
     if not steps or not many.filter(F.col("classes") > hot).limit(1).count():
         return _expand(shared, length)
     parts = stored(_parts(shared.filter(F.col("classes") > hot), steps[0], length), "repeat-parts")
@@ -358,7 +370,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     keyed = docs.select(*place, "doc_id", "text")
     twice = stored(anchor_counts(docs, length).filter("count > 1").select("h"), "repeated-anchors")
     repeated = spark.sparkContext.broadcast(Bloom.gather(twice, "h", Bloom.size_for(twice.count())).words)
-    found = stored(classes(keyed, repeated, length), "repeat-classes")
+    found = stored(classes(keyed, repeated, length), "repeat-classes", "zstd")
     judged = _judge(found, STEPS, hot, length)
     firsts = found.select("d", "t", "lo", F.col("lo").alias("start"), F.lit(0).cast("long").alias("n")).union(judged)
     known = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "start", "n")).alias("known"))
