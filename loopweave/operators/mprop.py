@@ -5,9 +5,11 @@ Updates after Subramanya and Bilmes, Journal of Machine Learning Research 12 (20
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopweave.plans.blocks import matrix_blocks
 from loopweave.plans.rounds import Rounds, bucketed
 from loopweave.plans.vectors import items, log_sum_exp, sum_vector
 
@@ -26,10 +28,56 @@ def propagate(
 
     ``edges(id1, id2, weight)`` hold both directions. Nodes without a measure start uniform.
     Neighbour sums are K partially aggregated columns, so a hub never gathers in one task
-    before its sums are combined. The edges are laid out once by either end; a round shuffles vectors.
+    before its sums are combined. Symmetric graphs are laid out in blocks of whole nodes once and a round
+    exchanges packed pieces of the vectors; others, and those with very full nodes, by either end of an edge.
     """
-    steps = Rounds()
     width = measures.agg(F.max(F.size("post"))).first()[0]
+    cells = Rounds().keep(
+        edges.select(F.col("id1").alias("node"), F.col("id2").alias("nbr"), F.col("weight").cast("double").alias("weight")).unionByName(
+            measures.select(F.col("idx").alias("node")), allowMissingColumns=True
+        )
+    )
+    blocks = matrix_blocks(cells)
+    if blocks is not None:
+        return _propagate_in_blocks(blocks, measures, rounds, mu, nu, self_weight, width)
+    by_ends = cells.filter("nbr is not null").select(F.col("node").alias("id1"), F.col("nbr").alias("id2"), "weight")
+    return _propagate_by_edges(by_ends, measures, rounds, mu, nu, self_weight, width)
+
+
+def _propagate_in_blocks(blocks, measures, rounds, mu, nu, self_weight, width) -> DataFrame:
+    """``propagate`` on vectors in blocks: the weights' sums, whether there is a measure, the measure, then q or p."""
+
+    def begin(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        there = a[width:]
+        return np.vstack([there, a[:width], np.where(there > 0, a[:width], 1.0 / width)]), np.ones_like(there)
+
+    def weighed(kept: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        return np.vstack([products[:1] + self_weight, kept]), []
+
+    def logs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.log(np.maximum(a[-width:], FLOOR))
+        return np.vstack([a[:-width], own]), own
+
+    def pull(kept: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        b = mu * (products + self_weight * kept[-width:]) / (nu + mu * kept[0])
+        return np.vstack([kept[:-width], np.exp(b - np.logaddexp.reduce(b, axis=0))]), []
+
+    def push(kept: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        q = (kept[2 : 2 + width] + mu * (products + self_weight * kept[-width:])) / (kept[1] + mu * kept[0])
+        return np.vstack([kept[:-width], q]), []
+
+    prior = blocks.keep(blocks.gathered(measures.select("idx", F.col("post").alias("value")), width))
+    state = blocks.keep(blocks.product(prior, begin, weighed))
+    for step in range(rounds):
+        state = blocks.keep(blocks.product(state, logs, pull))
+        if step + 1 < rounds:
+            state = blocks.keep(blocks.product(state, lambda a: (a, a[-width:]), push))
+    return blocks.rows(state, width, last=True).select("idx", F.col("value").alias("post"))
+
+
+def _propagate_by_edges(edges, measures, rounds, mu, nu, self_weight, width) -> DataFrame:
+    """``propagate`` by rows of edges, laid out once by either end; a round shuffles vectors."""
+    steps = Rounds()
     flat = F.array(*[F.lit(1.0 / width)] * width)
     by_first = bucketed(edges, "id1")
     by_second = bucketed(by_first, "id2")

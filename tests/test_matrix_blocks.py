@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loopweave.operators import balance as bl
+from loopweave.operators import mprop
 from loopweave.plans import blocks
 
 
@@ -54,6 +55,17 @@ def test_tasks_of_a_product_do_not_grow_with_the_partitions_of_the_session(spark
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_propagation_in_blocks_equals_that_by_edges(spark, spread):
+    edges = cells(spark, matrix(40) - np.diag(np.diag(matrix(40))))
+    measures = spark.createDataFrame(
+        [(i, [0.2 + 0.01 * (i % 40), 0.8 - 0.01 * (i % 40)]) for i in range(0, 60, 3)] + [(41, None)], "idx bigint, post array<double>"
+    )
+    got = mprop.propagate(edges, measures, rounds=3, mu=0.7, nu=0.1).orderBy("idx").collect()
+    want = mprop._propagate_by_edges(edges, measures, 3, 0.7, 0.1, 1.0, 2).orderBy("idx").collect()
+    assert [r.idx for r in got] == [r.idx for r in want]
+    assert np.allclose([r.post for r in got], [r.post for r in want])
+
+
 def test_lopsided_and_full_matrices_keep_their_rows(spark, monkeypatch):
     lopsided = spark.createDataFrame([(0, 1, 1.0), (1, 0, 2.0)], "node bigint, nbr bigint, weight double")
     assert blocks.matrix_blocks(lopsided) is None
