@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopweave.functions.gaussian import normal_log_density
-from loopweave.operators.mprop import propagate
+from loopweave.operators.mprop import Links, propagate
 from loopweave.plans.vectors import argmax, items, log_sum_exp
 from loopweave.session import materialize
 
@@ -64,12 +64,13 @@ def mixture_with_propagation(
     seed: int = 1,
 ) -> DataFrame:
     """idx, post, label: a mixture fitted once, then ``loops`` inferences, each after the first
-    taking the propagated posteriors of the one before as evidence.
+    taking the propagated posteriors of the one before as evidence. The graph is laid out once for all of them.
     """
     df = materialize(df.select("idx", "features"))
     model, params = fit_mixture(df, k, seed)
     post = materialize(posterior(model, df))
+    links = Links(edges, post) if loops > 1 else None
     for _ in range(1, loops):
-        smoothed = propagate(edges, post, rounds=rounds)
+        smoothed = propagate(links, post, rounds=rounds)
         post = materialize(posterior_with_evidence(df, params, smoothed, weight))
     return post.withColumn("label", argmax(F.col("post")))

@@ -16,8 +16,25 @@ from loopweave.plans.vectors import items, log_sum_exp, sum_vector
 FLOOR = 1e-300
 
 
+class Links:
+    """The edges between the nodes of ``measures``, laid out once for any number of propagations.
+
+    ``edges(id1, id2, weight)`` hold both directions. ``blocks`` is none where the graph is not symmetric or has
+    very full nodes; ``by_ends`` are the edges then.
+    """
+
+    def __init__(self, edges: DataFrame, measures: DataFrame):
+        cells = Rounds().keep(
+            edges.select(F.col("id1").alias("node"), F.col("id2").alias("nbr"), F.col("weight").cast("double").alias("weight")).unionByName(
+                measures.select(F.col("idx").alias("node")), allowMissingColumns=True
+            )
+        )
+        self.blocks = matrix_blocks(cells)
+        self.by_ends = cells.filter("nbr is not null").select(F.col("node").alias("id1"), F.col("nbr").alias("id2"), "weight")
+
+
 def propagate(
-    edges: DataFrame,
+    edges: DataFrame | Links,
     measures: DataFrame,
     rounds: int = 5,
     mu: float = 1.0,
@@ -26,22 +43,17 @@ def propagate(
 ) -> DataFrame:
     """idx, post after ``rounds`` rounds; ``measures(idx, post)`` labels its nodes.
 
-    ``edges(id1, id2, weight)`` hold both directions. Nodes without a measure start uniform.
+    ``edges(id1, id2, weight)`` hold both directions; ``Links`` are laid out already and name every node that
+    ``measures`` has. Nodes without a measure start uniform.
     Neighbour sums are K partially aggregated columns, so a hub never gathers in one task
     before its sums are combined. Symmetric graphs are laid out in blocks of whole nodes once and a round
     exchanges packed pieces of the vectors; others, and those with very full nodes, by either end of an edge.
     """
     width = measures.agg(F.max(F.size("post"))).first()[0]
-    cells = Rounds().keep(
-        edges.select(F.col("id1").alias("node"), F.col("id2").alias("nbr"), F.col("weight").cast("double").alias("weight")).unionByName(
-            measures.select(F.col("idx").alias("node")), allowMissingColumns=True
-        )
-    )
-    blocks = matrix_blocks(cells)
-    if blocks is not None:
-        return _propagate_in_blocks(blocks, measures, rounds, mu, nu, self_weight, width)
-    by_ends = cells.filter("nbr is not null").select(F.col("node").alias("id1"), F.col("nbr").alias("id2"), "weight")
-    return _propagate_by_edges(by_ends, measures, rounds, mu, nu, self_weight, width)
+    links = edges if isinstance(edges, Links) else Links(edges, measures)
+    if links.blocks is not None:
+        return _propagate_in_blocks(links.blocks, measures, rounds, mu, nu, self_weight, width)
+    return _propagate_by_edges(links.by_ends, measures, rounds, mu, nu, self_weight, width)
 
 
 def _propagate_in_blocks(blocks, measures, rounds, mu, nu, self_weight, width) -> DataFrame:
