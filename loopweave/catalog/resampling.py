@@ -10,6 +10,7 @@ from loopweave.catalog.registry import cte, query
 from loopweave.catalog.scores import SHIFTS, known_labels, node_labels
 from loopweave.operators import evaluation as ev
 from loopweave.operators import resample as rs
+from loopweave.session import materialize
 
 REPS = 20
 
@@ -31,15 +32,15 @@ cte(
 )
 
 
-def gene_bootstrap(spark, d):
-    labelled = ev.gene_labels(genes(spark, d), known_labels(spark, d), RES)
+def gene_bootstrap(spark, d, labels):
+    labelled = ev.gene_labels(genes(spark, d), labels, RES)
     rows = labelled.withColumn("signal", F.asinh("expr"))
     return rs.bootstrap_variance_explained(rows, ["gene_id"], ["signal"], REPS, draw)
 
 
 @query("bootstrap_expression_ve", "select rep, round(ve,6)+0.0 ve from c_gboot")
 def bootstrap_expression_ve(spark, d):
-    return rounded(gene_bootstrap(spark, d), "ve")
+    return rounded(gene_bootstrap(spark, d, known_labels(spark, d)), "ve")
 
 
 _res = ", ".join(f"{p}-avg({p}) over (partition by label) d{p}, avg({p}) over (partition by label) m{p}" for p in PHASES)
@@ -52,14 +53,14 @@ cte(
 )
 
 
-def timing_bootstrap(spark, d):
-    by_bin = ev.timing_by_bin(replication(spark, d), known_labels(spark, d), RES, PHASES)
+def timing_bootstrap(spark, d, labels):
+    by_bin = ev.timing_by_bin(replication(spark, d), labels, RES, PHASES)
     return rs.bootstrap_variance_explained(by_bin, ["chrom", "bin"], PHASES, REPS, draw)
 
 
 @query("bootstrap_timing_ve", "select rep, round(ve,6)+0.0 ve from c_tboot")
 def bootstrap_timing_ve(spark, d):
-    return rounded(timing_bootstrap(spark, d), "ve")
+    return rounded(timing_bootstrap(spark, d, known_labels(spark, d)), "ve")
 
 
 def over_expected_sql(where: str) -> str:
@@ -75,17 +76,22 @@ cte("c_oboot1", over_expected_sql("chrom1=chrom2"))
 cte("c_oboot2", over_expected_sql("chrom1<>chrom2"))
 
 
-def contact_bootstrap(spark, d, where):
-    labelled = ev.binned_pair_labels(dump(spark, d), node_labels(spark, d)).filter(where)
-    labelled = labelled.filter("label1 is not null and label2 is not null")
-    return rs.bootstrap_over_expected(
-        labelled, ev.label_shares(node_labels(spark, d)), ["chrom1", "pos1", "chrom2", "pos2"], REPS, draw
-    )
+def drawn_contacts(spark, d):
+    """The contacts with both labels, stored: a filter on chromosomes would else sink below the sums into
+    the scan, where it computes both ends of every line several times over.
+    """
+    labelled = ev.binned_pair_labels(dump(spark, d), node_labels(spark, d))
+    return materialize(labelled.filter("label1 is not null and label2 is not null"))
+
+
+def contact_bootstrap(contacts, shares, where):
+    return rs.bootstrap_over_expected(contacts.filter(where), shares, ["chrom1", "pos1", "chrom2", "pos2"], REPS, draw)
 
 
 @query("bootstrap_over_expected", "select rep, round(oe,6)+0.0 oe from c_oboot2")
 def bootstrap_over_expected(spark, d):
-    return rounded(contact_bootstrap(spark, d, "chrom1 <> chrom2"), "oe")
+    shares = ev.label_shares(node_labels(spark, d))
+    return rounded(contact_bootstrap(drawn_contacts(spark, d), shares, "chrom1 <> chrom2"), "oe")
 
 
 @query(
@@ -94,12 +100,14 @@ def bootstrap_over_expected(spark, d):
     from c_gboot g join c_tboot t using (rep) join c_oboot1 a using (rep) join c_oboot2 b using (rep)""",
 )
 def bootstrap_stats(spark, d):
+    labels, contacts = materialize(known_labels(spark, d)), drawn_contacts(spark, d)
+    shares = materialize(ev.label_shares(node_labels(spark, d)))
     out = rs.bootstrap_stats(
         {
-            "ge_ve": gene_bootstrap(spark, d),
-            "rt_ve": timing_bootstrap(spark, d),
-            "near_oe": contact_bootstrap(spark, d, "chrom1 = chrom2"),
-            "far_oe": contact_bootstrap(spark, d, "chrom1 <> chrom2"),
+            "ge_ve": gene_bootstrap(spark, d, labels),
+            "rt_ve": timing_bootstrap(spark, d, labels),
+            "near_oe": contact_bootstrap(contacts, shares, "chrom1 = chrom2"),
+            "far_oe": contact_bootstrap(contacts, shares, "chrom1 <> chrom2"),
         }
     )
     return rounded(out, "ge_ve", "rt_ve", "near_oe", "far_oe")
