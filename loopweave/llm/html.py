@@ -12,7 +12,7 @@ wraps it are forms and names of a state or layout; or when it is the page's long
 shorter than the text in neither place (unless a wrapper is never closed). What wraps it then counts for
 no other article either. An article in a comment list, in another article or in an element not shown never does so.
 
-The words of the open blocks of one host's pages form its token stream. Its suffixes are sorted by
+The words of the open blocks of all of one host's pages, those beside an article included, form its token stream. Its suffixes are sorted by
 their first ``run`` words, the depth to which a repeated run has to be told: suffixes that agree
 there stand next to each other in the suffix array, and they are boilerplate when they come from
 two distinct pages or more. A page's words that such suffixes cover are removed, and the unique
@@ -220,7 +220,7 @@ OWN = ("_host", "_uid", "_main", "_open", "_starts")
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``pages`` with uid, host, main (text, null without a main part) and open (words, null with one)."""
+    """``pages`` with uid, host, main (text, null without a main part) and open (words in neither place, also beside a main part)."""
     columns = pages.columns
     marked = pages.withColumn("_host", host_of(F.col("url"))).withColumn("_uid", F.monotonically_increasing_id())
     schema = marked.drop("html").select("*").schema.add("_main", "string").add("_open", ArrayType(StringType()))
@@ -233,7 +233,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 blocks = blocks_of(page)
                 inside = [b.text for b in blocks if b.place == MAIN]
                 mains.append(" ".join(inside) if inside else None)
-                opens.append(None if inside else _open_words(blocks))
+                opens.append(_open_words(blocks))
             rest = [part.column(k) for k in range(part.num_columns) if k != at_html]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(mains, pa.string()), pa.array(opens, pa.list_(pa.string()))], names=schema.names
@@ -278,9 +278,9 @@ def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     columns = pages.columns
     parsed = stored(_parsed(pages), "parsed-pages")
     kept = [c for c in columns if c != "html"]
-    whole = parsed.filter("_open is null").select(*kept, F.col("_main").alias("text"))
-    rest = parsed.filter("_open is not null")
-    cut = rest.join(_covered(rest, run), "_uid", "left")
+    whole = parsed.filter("_main is not null").select(*kept, F.col("_main").alias("text"))
+    rest = parsed.filter("_main is null")
+    cut = rest.join(_covered(parsed, run), "_uid", "left")
     schema = cut.select(*kept).schema.add("text", "string")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
