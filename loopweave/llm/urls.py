@@ -214,7 +214,8 @@ def scored_chunks(chunks: DataFrame, models: UrlModels) -> DataFrame:
         value = [_scores(x.column("text").to_pylist(), order, beta, names, counts) for x in parts]
         return left.select(columns).append_column("lm_score", pa.array(np.concatenate([*value, np.zeros(0)])))
 
-    wanted = chunks.select("text", "_chunk").mapInArrow(grams, "_chunk long, gram long")
+    # Spark sizes the rows of a Python step by those it reads, here a hundredth of them or less: neither side may be broadcast.
+    wanted = chunks.select("text", "_chunk").mapInArrow(grams, "_chunk long, gram long").hint("merge")
     found = wanted.join(models.counts, "gram").select("_chunk", "gram", "rejected", "accepted")
     schema = chunks.select(*columns).schema.add("lm_score", "double")
     return chunks.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(score, schema)
